@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, toxicity
+from . import jaccard_join, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,4 +23,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_jaccard_join": op3_jaccard_join, "op2_toxicity_chain": op2_toxicity_chain}
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_suffix_array_dedup": op7_suffix_array_dedup, "op3_jaccard_join": op3_jaccard_join, "op2_toxicity_chain": op2_toxicity_chain}
