@@ -89,7 +89,9 @@ def _sets(words: int):
         for batch in batches:
             for part, raw, offsets in tk.chunks(batch, "text"):
                 sets, first = tk.shingle_sets(*tk.word_hashes(raw, offsets), words)
-                yield pa.RecordBatch.from_arrays([part.column("set"), tk.lists(sets.view(np.int64), first)], ["set", "shingles"])
+                asked = part.column("set")
+                right = asked.to_numpy() == set_ids(sets, first).view(np.int64)  # an id may stand on other texts, too
+                yield pa.RecordBatch.from_arrays([asked, tk.lists(sets.view(np.int64), first)], ["set", "shingles"]).filter(pa.array(right))
 
     return run
 
@@ -195,6 +197,14 @@ def _links(threshold: float):
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s < 2:
                     continue
+                if len(np.unique(ids[s:e])) < e - s:  # rows that repeat an id and its text
+                    rows = s + np.sort(np.unique(ids[s:e], return_index=True)[1])
+                    one = batch.take(pa.array(rows))
+                    inner = list(run(iter([one]))) if len(rows) > 1 else []
+                    for x in inner:
+                        for k in range(3):
+                            out[k].append(x.column(k).to_numpy())
+                    continue
                 own = _own_pairs(int(path[s]), chunk[s:e], paths[pat[s] : pat[e]], pat[s : e + 1] - pat[s])
                 common = overlaps(sets[sat[s] : sat[e]], sat[s : e + 1] - sat[s])
                 size = np.diff(sat[s : e + 1])
@@ -275,9 +285,7 @@ def near_duplicates(
     ids = described.select("id", "set").join(wanted, ["id", "set"]).dropDuplicates(["set"])
     texts = source.join(ids.select("id", "set"), "id").select("set", "text")
     sets = texts.mapInArrow(_sets(words), "set long, shingles array<long>")
-    own = sets.select("set", "shingles", F.expr("aggregate(shingles, 0L, (s, x) -> s ^ x)").alias("mark"))
-    own = own.dropDuplicates(["set", "mark"]).drop("mark")
-    full = needed.join(own.join(wanted.select("set", "copies"), "set"), "set").repartition(*place).sortWithinPartitions(*place)
+    full = needed.join(sets.join(wanted.select("set", "copies"), "set"), "set").repartition(*place).sortWithinPartitions(*place)
     links = save(
         full.select("set", "path", "chunk", "a", "b", "paths", "shingles", "copies").mapInArrow(_links(threshold), "set long, root long, links long"),
         "near-links",

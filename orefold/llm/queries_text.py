@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, substring_dedup, toxicity
+from . import decontaminate, jaccard_join, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,4 +27,9 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_suffix_array_dedup": op7_suffix_array_dedup, "op3_jaccard_join": op3_jaccard_join, "op2_toxicity_chain": op2_toxicity_chain}
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item in it: doc_id, item_id and the share found."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op6_decontaminate": op6_decontaminate, "op7_suffix_array_dedup": op7_suffix_array_dedup, "op3_jaccard_join": op3_jaccard_join, "op2_toxicity_chain": op2_toxicity_chain}
