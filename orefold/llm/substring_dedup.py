@@ -4,14 +4,14 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
 Steps, each linear in the text:
 
 1. Anchors. In every window of ``length`` bytes the least of the hashed ``gram``-byte strings is its
-   anchor, so equal windows have equal anchors wherever they stand. Anchors (one in about 20 bytes)
-   meet by hash; those of two different texts or more are shared. An anchor that a batch already
-   knows as shared sends two rows to its place and the rest elsewhere, so no hash is one task's load.
-2. Segments. The windows of one shared anchor, ``a`` to ``b``, are the bytes ``a`` to ``b + length``;
-   segments go to shards by anchor. Of equal segments in a batch only that of the least id travels.
+   anchor, so equal windows have equal anchors wherever they stand. The windows of one anchor make a
+   segment; anchors (one in about 16 bytes) meet by hash, each with a hash of its whole segment.
+   Equal segments are one string with a least id: the others lose it whole. Of equal segments in one
+   batch only that of the least id travels, so no segment is one task's load.
+2. Segments. Strings whose anchor another, different segment has go to shards, with their bytes.
 3. Suffix arrays. Every shard is sorted by induced sorting in parts of about ``part_bytes``; permuted
    common prefixes of ``length`` or more join equal windows, and those whose least id is smaller
-   than their own give the spans to remove. This decides; hashes only bring candidates together.
+   than their own give the spans to remove.
 
 Equal texts count once: all but the least id lose every byte (if they have ``length`` bytes). Null
 texts are empty. A null id counts as larger than all others. Rows that repeat one id are not
@@ -33,11 +33,12 @@ from .scratch import save
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
-GRAM = 12
+GRAM = 18
 PART_BYTES = 2 << 20
 BUCKET_BYTES = 24 << 20
 _LAST = (1 << 63) - 1
-_KNOWN = np.int64(1) << np.int64(40)
+_HIGH = np.uint64(40)
+_FIVE = np.uint64((1 << 40) - 1)
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,6 +46,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets) - length + 1
     n, wide = len(raw), length - gram + 1
+    if n >> 28:
+        raise ValueError("a text has more than 256 MB")
     if n < length or not (sizes > 0).any():
         return none.astype(np.uint64), none, none, none
     starts = np.arange(n - gram + 1)
@@ -72,90 +75,107 @@ def ordinals(owner: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(owner)) - np.searchsorted(owner, np.arange(n))[owner]
 
 
+def _least_of(keys: tuple[np.ndarray, ...], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys then rank, and where in it the groups of equal keys start."""
+    order = np.lexsort((ranks, *keys[::-1]))
+    start = np.ones(len(order), bool)
+    start[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, start
+
+
+_FOUND = "rank long, tid long, ord int, whole boolean"
+_ANCHORS = "bucket int, docs binary, anchors binary"
+_DOC = np.dtype([("rank", "<i8"), ("tid", "<i8"), ("n", "<u2")])
+_ANCHOR = np.dtype([("low", "u1", 5), ("body", "u1", 6), ("ord", "u1", 4)])
+
+
+def _short(values: np.ndarray, width: int) -> np.ndarray:
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _long(short: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, : short.shape[1]] = short
+    return out.reshape(-1).view(np.uint64)
+
+
 def _anchor_rows(buckets: int, length: int, gram: int):
-    """Blobs of 48-bit hashes, text ids and ordinals, one row for each bucket and chunk."""
+    """For each bucket and chunk: documents with counts, and 40 bits of each anchor, 48 of its segment, its place.
+
+    Bucket -1 - b has anchors that need no meeting: an equal segment of a smaller id stands in the chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in tk.chunks(batch, "text"):
-                ids = part.column("tid").to_numpy()
-                hashes, _, _, owner = anchors(raw, offsets, length, gram)
+                tids, ranks = part.column("tid").to_numpy(), part.column("rank").to_numpy()
+                hashes, a, b, owner = anchors(raw, offsets, length, gram)
                 if not len(hashes):
                     continue
-                only = np.zeros(len(ids), bool)
-                only[np.unique(ids, return_index=True)[1]] = True
-                order = ordinals(owner, len(ids))
-                keep = only[owner]
-                hashes, tid, order = hashes[keep] & np.uint64(0xFFFFFFFFFFFF), ids[owner[keep]], order[keep]
-                bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-                by = np.lexsort((tid, hashes))
-                h, t = hashes[by], tid[by]
-                fresh = np.ones(len(h), bool)
-                fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-                start = np.ones(len(h), bool)
-                start[1:] = h[1:] != h[:-1]
-                run_of = np.cumsum(start) - 1
-                rank = np.cumsum(fresh) - 1
-                rank -= rank[np.flatnonzero(start)][run_of]
-                many = np.bincount(run_of, weights=fresh)[run_of] > 2
-                away = by[many & (rank >= 2)]
-                order[away] |= _KNOWN
-                bucket[away] = tid[away] % buckets
+                bodies, order = tk.hash_spans(raw, a, b + length), ordinals(owner, len(tids))
+                by, start = _least_of((bodies,), ranks[owner])
+                least = np.empty(len(by), np.int64)
+                least[by] = ranks[owner][by][start][np.cumsum(start) - 1]
+                bucket = ((hashes >> _HIGH) % np.uint64(buckets)).astype(np.int64)
+                known = ranks[owner] > least
+                bucket[known] = -1 - (tids[owner[known]] % buckets)
                 by = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(at))
-                blobs: list[list[bytes]] = [[], [], []]
-                for b in some:
-                    rows = by[at[b] : at[b + 1]]
-                    blobs[0].append(hashes[rows].view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                    blobs[1].append(tid[rows].tobytes())
-                    blobs[2].append(order[rows].astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "hashes", "tids", "ords"]
-                )
+                edges = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))
+                rows: tuple[list, list, list] = ([], [], [])
+                for s, e in zip(edges, np.append(edges[1:], len(by)), strict=True):
+                    pick = by[s:e]
+                    turn = np.flatnonzero(np.append(True, owner[pick][1:] != owner[pick][:-1]))
+                    turn = np.unique(np.concatenate([turn, np.arange(0, len(pick), 60_000)]))
+                    docs, items = np.empty(len(turn), _DOC), np.empty(len(pick), _ANCHOR)
+                    docs["rank"], docs["tid"] = ranks[owner[pick[turn]]], tids[owner[pick[turn]]]
+                    docs["n"] = np.diff(np.append(turn, len(pick)))
+                    items["low"], items["body"], items["ord"] = _short(hashes[pick], 5), _short(bodies[pick], 6), _short(order[pick], 4)
+                    for k, x in enumerate((int(bucket[pick[0]]), docs.tobytes(), items.tobytes())):
+                        rows[k].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["bucket", "docs", "anchors"])
 
     return run
 
 
-def _wide(blobs: list[bytes]) -> np.ndarray:
-    six = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.reshape(-1).view(np.uint64)
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text ids and ordinals of the anchors that two texts or more have."""
-    parts: list[list] = [[], [], []]
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of segments that go whole, and of strings that have to be compared."""
+    held: dict[int, tuple[list, list]] = {}
     for batch in batches:
-        for k, c in enumerate(("hashes", "tids", "ords")):
-            parts[k] += batch.column(c).to_pylist()
-    if not parts[0]:
-        return
-    hashes, order = _wide(parts[0]), _wide(parts[2]).astype(np.int64)
-    tid = np.frombuffer(b"".join(parts[1]), np.int64)
-    known = (order & _KNOWN) > 0
-    by = np.lexsort((tid, hashes))
-    by = by[~known[by]]
-    h, t = hashes[by], tid[by]
-    start = np.ones(len(h), bool)
-    start[1:] = h[1:] != h[:-1]
-    turn = np.zeros(len(h), bool)
-    turn[1:] = ~start[1:] & (t[1:] != t[:-1])
-    run_of = np.cumsum(start) - 1
-    hit = np.concatenate([by[np.bincount(run_of, weights=turn)[run_of] > 0] if len(by) else by, np.flatnonzero(known)])
-    found = np.unique(np.stack([tid[hit], order[hit] & (_KNOWN - 1)], 1), axis=0)
-    for s in range(0, len(found), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(found[s : s + 100_000, 0]), pa.array(found[s : s + 100_000, 1].astype(np.int32))], ["tid", "ord"])
+        for k, docs, items in zip(batch.column("bucket").to_pylist(), batch.column("docs").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
+            docs, items = np.frombuffer(docs, _DOC), np.frombuffer(items, _ANCHOR)
+            if k < 0:
+                yield _places(np.repeat(docs["rank"], docs["n"]), np.repeat(docs["tid"], docs["n"]), items, np.ones(len(items), bool))
+            else:
+                held.setdefault(k, ([], []))
+                held[k][0].append(docs)
+                held[k][1].append(items)
+    while held:
+        docs, items = (np.concatenate(x) for x in held.popitem()[1])
+        rank, tid = np.repeat(docs["rank"], docs["n"]), np.repeat(docs["tid"], docs["n"])
+        low, body = _long(items["low"]), _long(items["body"])
+        by, start = _least_of((low, body), rank)
+        group = np.cumsum(start) - 1
+        least = rank[by][start][group]
+        whole = rank[by] > least
+        meets = np.append(True, low[by][1:] != low[by][:-1])
+        strings = np.bincount(np.cumsum(meets) - 1, weights=start)[np.cumsum(meets) - 1]
+        keep = whole | (strings > 1)
+        yield _places(rank[by][keep], tid[by][keep], items[by[keep]], whole[keep])
+
+
+def _places(rank: np.ndarray, tid: np.ndarray, items: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rank), pa.array(tid), pa.array(_long(items["ord"]).astype(np.int32)), pa.array(whole)], ["rank", "tid", "ord", "whole"]
+    )
 
 
 def _outcome(doc, size: int, cuts: list[tuple[int, int]], kept) -> tuple:
     return doc, size, sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(kept).hexdigest()
 
 
-_STAGE = "kind int, doc_id long, rank long, tid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shard long, start long, stop long, body binary"
+_STAGE = "kind int, doc_id long, rank long, tid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shard long, start long, known binary, body binary"
 _NAMES = [c.split()[0] for c in _STAGE.split(", ")]
-_TYPES = [pa.int32(), *[pa.int64()] * 6, pa.string(), *[pa.int64()] * 3, pa.binary()]
+_TYPES = [pa.int32(), *[pa.int64()] * 6, pa.string(), *[pa.int64()] * 2, pa.binary(), pa.binary()]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -164,49 +184,32 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _segments(shards: int, length: int, gram: int):
-    """Results of settled documents (kind 0), segments (1), spans known here (2), texts that wait (3)."""
+    """Results of settled documents (kind 0), segments (1), texts that wait with the spans known so far (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw, offsets in tk.chunks(batch, "text"):
                 docs, rank, tid = part.column("doc_id").to_pylist(), part.column("rank").to_numpy(), part.column("tid").to_numpy()
-                copies, lists = part.column("copy").to_numpy(zero_copy_only=False), part.column("ords")
-                waits = np.asarray(lists.is_valid()) & ~copies
+                copies, found = part.column("copy").to_numpy(zero_copy_only=False), part.column("found")
+                waits = np.asarray(found.is_valid()) & ~copies
                 out: list[tuple] = []
-                blank = (None, None, None, None)
                 for i in np.flatnonzero(~waits):
                     size = int(offsets[i + 1] - offsets[i])
                     gone = copies[i] and size >= length
                     body = b"" if gone else raw[offsets[i] : offsets[i + 1]]
-                    out.append((0, docs[i], None, None, *_outcome(None, size, [(0, size)] if gone else [], body)[1:], *blank))
-                places = np.flatnonzero(waits)
-                if len(places):
-                    pieces = [raw[offsets[i] : offsets[i + 1]] for i in places]
-                    own = np.concatenate(pieces)
-                    off = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-                    hashes, a, b, owner = anchors(own, off, length, gram)
-                    order = ordinals(owner, len(places))
-                    wanted = [np.asarray(lists[i].values) for i in places]
-                    width = int(order.max(initial=0)) + 1
-                    keys = np.concatenate([k * width + w.astype(np.int64) for k, w in enumerate(wanted)])
-                    keep = np.isin(owner * width + order, keys)
-                    hashes, a, b, owner = hashes[keep], a[keep], b[keep], owner[keep]
-                    whole = tk.hash_spans(own, a, b + length)
-                    ranks = rank[places[owner]]
-                    by = np.lexsort((ranks, whole))
-                    start = np.ones(len(by), bool)
-                    start[1:] = whole[by][1:] != whole[by][:-1]
-                    least = np.empty(len(by), np.int64)
-                    least[by] = ranks[by][np.flatnonzero(start)][np.cumsum(start) - 1]
-                    for j in range(len(a)):
-                        i, o = places[owner[j]], int(off[owner[j]])
-                        if ranks[j] > least[j]:
-                            out.append((2, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, None, int(a[j]) - o, int(b[j]) + length - o, None))
-                        else:
-                            body = own[a[j] : b[j] + length].tobytes()
-                            out.append((1, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, int(hashes[j] % np.uint64(shards)), int(a[j]) - o, None, body))
-                    for i in places:
-                        out.append((3, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, None, None, None, raw[offsets[i] : offsets[i + 1]].tobytes()))
+                    out.append((0, docs[i], None, None, *_outcome(None, size, [(0, size)] if gone else [], body)[1:], None, None, None, None))
+                for i in np.flatnonzero(waits):
+                    own = raw[offsets[i] : offsets[i + 1]]
+                    hashes, a, b, _ = anchors(own, np.array([0, len(own)]), length, gram)
+                    places = np.unique(np.asarray(found[i].values))  # ordinal * 2 + whole
+                    whole = places[places % 2 == 1] // 2
+                    compare = np.setdiff1d(places[places % 2 == 0] // 2, whole)
+                    spans = np.stack([a[whole], b[whole] + length], 1).astype("<i8")
+                    where, first, last = (hashes[compare] % np.uint64(shards)).tolist(), a[compare].tolist(), (b[compare] + length).tolist()
+                    body = own.tobytes()
+                    for w, s, e in zip(where, first, last, strict=True):
+                        out.append((1, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, w, s, None, body[s:e]))
+                    out.append((3, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, None, None, spans.tobytes(), body))
                 yield _rows(out)
 
     return run
@@ -270,11 +273,12 @@ def _sorted_shards(part_bytes: int, length: int):
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, bodies, cuts = (batch.column(c).to_pylist() for c in ("doc_id", "body", "cuts"))
+            docs, bodies, known, cuts = (batch.column(c).to_pylist() for c in ("doc_id", "body", "known", "cuts"))
             rows = []
-            for doc, body, spans in zip(docs, bodies, cuts, strict=True):
+            for doc, body, sure, spans in zip(docs, bodies, known, cuts, strict=True):
                 merged: list[tuple[int, int]] = []
-                for s in sorted((x["start"], x["stop"]) for x in spans or ()):
+                every = [*map(tuple, np.frombuffer(sure, "<i8").reshape(-1, 2).tolist()), *((x["start"], x["stop"]) for x in spans or ())]
+                for s in sorted(every):
                     if merged and s[0] <= merged[-1][1]:
                         merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]))
                     else:
@@ -308,20 +312,19 @@ def remove_repeats(
     )
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // bucket_bytes))
-    shared = (
-        source.select("tid", "text")
-        .mapInArrow(_anchor_rows(parts * 4, length, gram), "bucket int, hashes binary, tids binary, ords binary")
+    found = (
+        source.select("rank", "tid", "text")
+        .mapInArrow(_anchor_rows(parts, length, gram), _ANCHORS)
         .repartition(parts, "bucket")
-        .mapInArrow(_shared, "tid long, ord int")
+        .mapInArrow(_meeting, _FOUND)
     )
-    lists = shared.groupBy("tid").agg(F.collect_set("ord").alias("ords"))
+    lists = found.groupBy("rank", "tid").agg(F.collect_list(F.col("ord") * 2 + F.col("whole").cast("int")).alias("found"))
+    lists = save(lists, "repeat-found")
     least = source.groupBy("tid").agg(F.min("rank").alias("least"))
-    marks = save(least.join(lists, "tid", "left"), "repeat-marks")
-    ids = source.select("rank", "tid").join(marks.select("tid", "least"), "tid").select("rank", "tid", (F.col("rank") > F.col("least")).alias("copy"))
-    own = marks.filter("ords is not null").select(F.col("least").alias("rank"), "tid", "ords")
-    small = ids.groupBy("rank", "tid").agg(F.first("copy").alias("copy")).join(own, ["rank", "tid"], "left")
+    copies = source.select("rank", "tid").join(least, "tid").groupBy("rank", "tid").agg(F.max(F.col("rank") > F.col("least")).alias("copy"))
+    marks = save(copies.join(lists, ["rank", "tid"], "left"), "repeat-marks")
     staged = save(
-        source.join(small, ["rank", "tid"]).select("doc_id", "rank", "tid", "text", "copy", "ords").mapInArrow(_segments(parts * 64, length, gram), _STAGE),
+        source.join(marks, ["rank", "tid"]).select("doc_id", "rank", "tid", "text", "copy", "found").mapInArrow(_segments(parts * 64, length, gram), _STAGE),
         "repeat-stage",
     )
     spans = (
@@ -331,10 +334,9 @@ def remove_repeats(
         .sortWithinPartitions("shard")
         .mapInArrow(_sorted_shards(part_bytes, length), "doc_id long, tid long, start long, stop long")
         .select(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "tid", "start", "stop")
-        .unionByName(staged.filter("kind = 2").select("rank", "tid", "start", "stop"))
     )
     cuts = spans.groupBy("rank", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    waiting = staged.filter("kind = 3").select("doc_id", "rank", "tid", "body").join(cuts, ["rank", "tid"], "left")
+    waiting = staged.filter("kind = 3").select("doc_id", "rank", "tid", "known", "body").join(cuts, ["rank", "tid"], "left")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    done = waiting.select("doc_id", "body", "cuts").mapInArrow(_cut(length), result)
+    done = waiting.select("doc_id", "body", "known", "cuts").mapInArrow(_cut(length), result)
     return staged.filter("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(done)
