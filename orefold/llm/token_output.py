@@ -31,6 +31,8 @@ ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 1 << 20
 PART_BYTES = 24 << 20
 CACHE = 1_500_000
+#: One row of 16 bytes for each part: at most 16 MB are broadcast, above it the join shuffles.
+MOST_BROADCAST_PARTS = 1_000_000
 
 #: The contractions of the byte-level pre-tokenizer.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -236,6 +238,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+    if rows.select("part").distinct().count() <= MOST_BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
     return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 
