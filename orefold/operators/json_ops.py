@@ -17,7 +17,7 @@ def looks_like_json(c: Column) -> Column:
 def key_types(df: DataFrame, column: str) -> DataFrame:
     """``key, type, rows`` of the top-level keys of objects; the type of non-null values, else null."""
     keyed = df.select(F.col(column).alias("j"), F.explode(F.json_object_keys(column)).alias("key"))
-    value = F.get_json_object("j", F.concat(F.lit("$."), F.col("key")))
+    value = F.call_function("get_json_object", F.col("j"), F.concat(F.lit("$."), F.col("key")))
     kind = (
         F.when(value.isNull(), F.lit(None)).when(value.startswith("{"), "object").when(value.startswith("["), "array")
         .when(value.isin("true", "false"), "boolean").when(value.rlike(r"^-?\d+$"), "integer").when(value.rlike(r"^-?\d+\.\d+([eE][+-]?\d+)?$"), "number").otherwise("string")
