@@ -26,6 +26,12 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
+def _compare(a: Column, b: Column) -> Column:
+    """The order of records that hold maps: by their other columns."""
+    x, y = a["__key"], b["__key"]
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+
 def shuffle_into_shards(
     df: DataFrame, key: str, shards: int = 16, seed: int = 17, bucket_rows: int = 8192
 ) -> DataFrame:
@@ -33,25 +39,27 @@ def shuffle_into_shards(
 
     Columns of these names in the input are replaced. An empty table gives an empty result.
     """
-    if bucket_rows < 1:
-        raise ValueError("bucket_rows must be positive")
+    if bucket_rows < 1 or shards < 1:
+        raise ValueError("shards and bucket_rows must be positive")
     df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot", "__sub", "__recs")])
     per_shard = max(1, -(-df.count() // (shards * bucket_rows)))
+    tasks = max(16, shards * per_shard // 4)
     hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
     placed = df.select(
         rendezvous(F.col(key), shards, seed).alias("shard"),
         F.pmod(F.xxhash64(F.lit(seed + 1), *hashed), F.lit(per_shard)).alias("__sub"),
-        F.struct(*[F.col(c) for c in df.columns]).alias("__rec"),
+        F.struct(*([F.struct(*hashed).alias("__key")] if len(hashed) < len(df.columns) else []), *[F.col(c) for c in df.columns]).alias("__rec"),
     )
     counts = placed.groupBy("shard", "__sub").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "shard", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
     )
-    buckets = placed.groupBy("shard", "__sub").agg(F.collect_list("__rec").alias("__recs"))
-    dealt = buckets.join(offsets, ["shard", "__sub"]).select(
-        "shard", "__first", F.posexplode(F.shuffle(F.array_sort("__recs"), F.lit(seed + 2))).alias("__at", "__rec")
-    )
+    scattered = placed.repartition(tasks, "shard", "__sub").groupBy("shard", "__sub").agg(F.collect_list("__rec").alias("__recs"))
+    # Spark's shuffle draws on from bucket to bucket of a task: a fixed order of both makes it the same on every run
+    ordered = F.array_sort("__recs", _compare) if len(hashed) < len(df.columns) else F.array_sort("__recs")
+    shuffled = scattered.sortWithinPartitions("shard", "__sub").select("shard", "__sub", F.shuffle(ordered, F.lit(seed + 2)).alias("__recs"))
+    dealt = shuffled.join(offsets, ["shard", "__sub"]).select("shard", "__first", F.posexplode("__recs").alias("__at", "__rec"))
     return dealt.select(
         *[F.col("__rec").getField(c).alias(c) for c in df.columns],
         "shard",

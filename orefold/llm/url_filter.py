@@ -51,7 +51,7 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 def rule_tokens(host: str, path: str) -> list[str]:
     """Tokens that every url has that the rule fits; a path's last, open segment is not one."""
-    return ["h:" + t for t in host.split(".")] + ["p:" + t for t in path.split("/")[:-1]]
+    return ["h:" + t for t in host.split(".")] + ["p:" + t for t in path.split("/")[:-1] if t]
 
 
 def rule_pattern(host: str, path: str) -> str:
