@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 CATEGORIES = ("low_quality", "toxic", "severe")
-SAMPLE = 8_000
+SAMPLE = 16_000
 FOLDS = 5
+#: A word is a feature if its presence parts a class with at least this statistic (one chance in 10,000).
+CHI_SQUARE = 15.0
 
 
 @dataclass(frozen=True)
@@ -48,32 +50,55 @@ def present_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Logistic regression by Nesterov's gradient steps; classes weigh as their square roots; last column is 1."""
-    n, d = x.shape
-    w, z, t = np.zeros(d, np.float32), np.zeros(d, np.float32), 1.0
+@dataclass(frozen=True)
+class Rows:
+    """Words present in rows, as sorted (row, column) pairs, beside a few dense columns, the last of them 1."""
+
+    row: np.ndarray
+    column: np.ndarray
+    wide: int
+    dense: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=len(self.dense)) + self.dense @ w[self.wide :]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.column, weights=v[self.row], minlength=self.wide), v @ self.dense])
+
+    def take(self, keep: np.ndarray) -> Rows:
+        inside, place = keep[self.row], np.cumsum(keep) - 1
+        return Rows(place[self.row[inside]], self.column[inside], self.wide, self.dense[keep])
+
+
+def _fit(x: Rows, y: np.ndarray, l2: float = 0.3, steps: int = 200) -> np.ndarray:
+    """Logistic regression by Nesterov's gradient steps; classes weigh as their square roots."""
+    n, d = len(x.dense), x.wide + x.dense.shape[1]
+    w, z, t = np.zeros(d), np.zeros(d), 1.0
     positive = max(1.0, float(y.sum()))
-    weight = np.where(y > 0, np.sqrt(n / positive), np.sqrt(n / max(1.0, n - positive))).astype(np.float32)
-    v = np.ones(d, np.float32)
-    for _ in range(8):  # largest eigenvalue of the weighted Gram matrix
-        v = x.T @ (weight * (x @ v))
+    weight = np.where(y > 0, np.sqrt(n / positive), np.sqrt(n / max(1.0, n - positive)))
+    v, scale = np.ones(d), 1.0
+    for _ in range(12):  # largest eigenvalue of the weighted Gram matrix
+        v = x.back(weight * x.times(v))
         scale = float(np.linalg.norm(v)) or 1.0
         v /= scale
     rate = 1.0 / (0.25 * scale + l2)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
-        new = z - rate * (x.T @ (weight * (p - y)) + l2 * z)
+        p = 1 / (1 + np.exp(-np.clip(x.times(z), -30, 30)))
+        new = z - rate * (x.back(weight * (p - y)) + l2 * z)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / after * (new - w), new, after
     return w
 
 
-def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.clip(x @ w, -30, 30)
+def _logit(x: Rows, w: np.ndarray) -> np.ndarray:
+    return np.clip(x.times(w), -30, 30)
+
 
+def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first: np.ndarray, features: int = 1600, common: float = 0.2) -> Chain:
+    """Fit on labelled rows given as their distinct word hashes. Without toxic rows nothing is toxic.
 
-def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first: np.ndarray, features: int = 1000) -> Chain:
-    """Fit on labelled rows given as their distinct word hashes. Without rows nothing is toxic."""
+    Features are the words that part the classes best, without those in more than ``common`` of the rows.
+    """
     n = len(first) - 1
     rows = tk.rows_of(first)
     vocabulary, at = np.unique(words, return_inverse=True)
@@ -86,26 +111,27 @@ def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first:
         of_class = np.bincount(at, weights=y[rows], minlength=len(vocabulary))
         rate, rest = (of_class + 0.1) / (y.sum() + 0.2), (seen - of_class + 0.1) / (n - y.sum() + 0.2)
         odds.append(np.log(rate / rest))
-        gain = np.abs(np.sqrt(rate) - np.sqrt(rest))
-        gain[seen < min(3, n)] = 0
-        chosen[np.argsort(-gain, kind="stable")[: features // 2]] = True
+        expected = seen * (y.sum() / n)
+        chi2 = (of_class - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - y.sum() / n), 1e-9)
+        chi2[(seen < min(3, n)) | (seen > max(3, common * n))] = 0
+        best = np.argsort(-chi2, kind="stable")[: features // 2]
+        chosen[best[chi2[best] >= CHI_SQUARE]] = True
     vocabulary, place = vocabulary[chosen], np.cumsum(chosen) - 1
-    x = np.zeros((n, len(vocabulary)), np.float32)
     inside = chosen[at]
-    x[rows[inside], place[at[inside]]] = 1
+    pairs = rows[inside], place[at[inside]], len(vocabulary)
     hits = np.bincount(rows, weights=np.where(inside, odds[1][at] > 3, False), minlength=n) / np.maximum(1, np.diff(first))
     median = np.median(hits[toxic > 0])
     labels = (1 - quality, toxic, ((toxic > 0) & (hits > median)).astype(np.int64))
     fold = np.array([int(words[first[i]] % np.uint64(FOLDS)) if first[i] < first[i + 1] else 0 for i in range(n)])
-    ones, weights, earlier, out_of_fold = np.ones((n, 1), np.float32), [], np.zeros((n, 0), np.float32), {}
+    ones, weights, earlier, out_of_fold = np.ones((n, 1)), [], np.zeros((n, 0)), {}
     for name, y in zip(CATEGORIES, labels, strict=True):
-        full = np.hstack([x, earlier / 10, ones])
-        held = np.zeros(n, np.float32)
+        full = Rows(*pairs, np.hstack([earlier / 10, ones]))
+        held = np.zeros(n)
         for f in range(FOLDS):
             apart = fold == f
             if apart.any() and not apart.all():
-                held[apart] = _logit(full[apart], _fit(full[~apart], y[~apart].astype(np.float32)))
-        weights.append(_fit(full, y.astype(np.float32)))
+                held[apart] = _logit(full.take(apart), _fit(full.take(~apart), y[~apart]))
+        weights.append(_fit(full, y))
         out_of_fold[name] = held
         earlier = np.hstack([earlier, held[:, None]])
     score = out_of_fold["toxic"]
