@@ -14,6 +14,7 @@ a normaliser or texts with the tokenizer's special strings go through the librar
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -27,10 +28,10 @@ from . import textkernel as tk
 from .scratch import new_path
 
 END_ID = 2
-ROW_GROUP_BYTES = 64 << 20
+ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 1 << 20
 PART_BYTES = 24 << 20
-CACHE = 1_500_000
+CACHE = 600_000
 #: One row of 16 bytes for each part: at most 16 MB are broadcast, above it the join shuffles.
 MOST_BROADCAST_PARTS = 1_000_000
 
@@ -45,12 +46,12 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, _OTHER, np.uint8)
-    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    text = "".join(every)
-    for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        for m in regex.finditer(pattern, text):
-            codes = np.frombuffer(m.group().encode("utf-32-le"), np.uint32)
-            table[codes] = kind
+    patterns = [(kind, regex.compile(p)) for kind, p in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+"))]
+    for low in range(0, 0x110000, 0x1000):
+        text = "".join(chr(c) for c in range(low, low + 0x1000) if not 0xD800 <= c < 0xE000)
+        for kind, pattern in patterns:
+            for m in pattern.finditer(text):
+                table[np.frombuffer(m.group().encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
@@ -186,11 +187,17 @@ class Encoder:
         return values, ahead[np.searchsorted(starts, offsets)]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process; later tasks find its cache filled."""
+    return Encoder(path)
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(path), 0
+        encoder, before = encoder_of(path), 0
         for batch in batches:
-            for part, _, offsets in tk.chunks(batch, "text"):
+            for part, _, offsets in tk.chunks(batch, "text", 1 << 20):
                 values, first = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 n = len(offsets) - 1
                 sizes = np.diff(first) + 1
