@@ -320,7 +320,8 @@ def remove_repeats(
     )
     lists = found.groupBy("rank", "tid").agg(F.collect_list(F.col("ord") * 2 + F.col("whole").cast("int")).alias("found"))
     lists = save(lists, "repeat-found")
-    least = source.groupBy("tid").agg(F.min("rank").alias("least"))
+    # written, so that the join below reads two plain exchanges, of which a very common text's can be split
+    least = save(source.groupBy("tid").agg(F.min("rank").alias("least")), "repeat-least")
     copies = source.select("rank", "tid").join(least, "tid").groupBy("rank", "tid").agg(F.max(F.col("rank") > F.col("least")).alias("copy"))
     marks = save(copies.join(lists, ["rank", "tid"], "left"), "repeat-marks")
     staged = save(
