@@ -149,7 +149,10 @@ def _unpacked(body: bytes) -> np.ndarray:
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id", kind="stable")
-    body = np.array(pdf["v"].tolist(), np.int64)
+    wide = max(map(len, pdf["v"]))
+    body = np.zeros((len(pdf), wide), np.int64)
+    for row, v in zip(body, pdf["v"], strict=True):
+        row[: len(v)] = v
     return pd.DataFrame({"part": pdf["part"].iloc[:1].to_numpy(), "ids": [_packed(pdf["vec_id"].to_numpy(np.int64))], "body": [_packed(body)]})
 
 
@@ -161,7 +164,9 @@ def _search(k: int):
             for shard, ids, body, q_ids, q_body in zip(pdf["part"], pdf["ids"], pdf["body"], pdf["q_ids"], pdf["q_body"], strict=True):
                 if held != shard:
                     held, tree = shard, MTree(_unpacked(ids), _unpacked(body))
-                for q, vector in zip(_unpacked(q_ids).tolist(), _unpacked(q_body), strict=True):
+                asked, wide = _unpacked(q_body), tree.vectors.shape[1]
+                asked = np.pad(asked, ((0, 0), (0, max(0, wide - asked.shape[1]))))[:, :wide]
+                for q, vector in zip(_unpacked(q_ids).tolist(), asked, strict=True):
                     rows += [(q, i, s) for s, i in tree.search(vector, k, q)]
             yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -169,8 +174,9 @@ def _search(k: int):
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``query_id, rank, vec_id, score``. Both inputs have ``vec_id`` and an integer array ``v``, one length.
+    """``query_id, rank, vec_id, score``. Both inputs have ``vec_id`` and an integer array ``v``.
 
+    Components that the shorter of two vectors lacks count as 0.
     Rows whose id or vector is null take no part. A query's own id is no candidate for it. Fewer than k
     candidates give fewer rows; an empty table gives none. Rows that repeat an id each count.
     """

@@ -37,6 +37,9 @@ def test_top_k_edges(spark):
     assert mtree_search.top_k_digest(none).isEmpty()
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert mtree_search.top_k_digest(one).isEmpty()
+    mixed = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (2, []), (3, [0.5, 1.0, 9.0]), (3, [0.5, 1.0, 9.0])], "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in mtree_search.top_k_digest(mixed).orderBy("rank").collect()]
+    assert got == [(0, 1, 3, 163840), (0, 2, 3, 163840), (0, 3, 1, 65536), (0, 4, 2, 0)]
 
 
 def test_bounds_skip_work():
