@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 
 CATEGORIES = ("low_quality", "toxic", "severe")
-SAMPLE = 16_000
+SAMPLE = 8_000
 FOLDS = 5
+_SLOTS = 1 << 22
 #: A word is a feature if its presence parts a class with at least this statistic (one chance in 10,000).
 CHI_SQUARE = 15.0
 
@@ -60,10 +61,10 @@ class Rows:
     dense: np.ndarray
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.column], minlength=len(self.dense)) + self.dense @ w[self.wide :]
+        return np.bincount(self.row, weights=w[self.column], minlength=len(self.dense)) + (self.dense * w[self.wide :]).sum(1)
 
     def back(self, v: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.bincount(self.column, weights=v[self.row], minlength=self.wide), v @ self.dense])
+        return np.concatenate([np.bincount(self.column, weights=v[self.row], minlength=self.wide), (self.dense * v[:, None]).sum(0)])
 
     def take(self, keep: np.ndarray) -> Rows:
         inside, place = keep[self.row], np.cumsum(keep) - 1
@@ -99,11 +100,23 @@ def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first:
 
     Features are the words that part the classes best, without those in more than ``common`` of the rows.
     """
-    n = len(first) - 1
-    rows = tk.rows_of(first)
-    vocabulary, at = np.unique(words, return_inverse=True)
+    n, sizes = len(first) - 1, np.diff(first)
     if not n or not toxic.any():
         return Chain(np.zeros(0, np.uint64), np.zeros(0, object), 0.5)
+    lead = np.zeros(n, np.uint64)
+    lead[sizes > 0] = words[first[:-1][sizes > 0]]
+    order = np.lexsort((sizes, lead))  # whatever order the rows came in
+    quality, toxic, sizes, lead = quality[order], toxic[order], sizes[order], lead[order]
+    slot = (words & np.uint64(_SLOTS - 1)).astype(np.int32)
+    count = np.bincount(slot, minlength=_SLOTS)
+    keep = ((count >= min(3, n)) & (count <= max(3, common * n)))[slot]
+    del slot, count
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    rows, words = np.repeat(rank, np.diff(first))[keep], words[keep]
+    by = np.lexsort((words, rows))
+    rows, words = rows[by], words[by]
+    vocabulary, at = np.unique(words, return_inverse=True)
     seen = np.bincount(at, minlength=len(vocabulary))
     odds = []
     chosen = np.zeros(len(vocabulary), bool)
@@ -119,10 +132,10 @@ def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first:
     vocabulary, place = vocabulary[chosen], np.cumsum(chosen) - 1
     inside = chosen[at]
     pairs = rows[inside], place[at[inside]], len(vocabulary)
-    hits = np.bincount(rows, weights=np.where(inside, odds[1][at] > 3, False), minlength=n) / np.maximum(1, np.diff(first))
+    hits = np.bincount(rows, weights=np.where(inside, odds[1][at] > 3, False), minlength=n) / np.maximum(1, sizes)
     median = np.median(hits[toxic > 0])
     labels = (1 - quality, toxic, ((toxic > 0) & (hits > median)).astype(np.int64))
-    fold = np.array([int(words[first[i]] % np.uint64(FOLDS)) if first[i] < first[i + 1] else 0 for i in range(n)])
+    fold = (lead % np.uint64(FOLDS)).astype(np.int64)
     ones, weights, earlier, out_of_fold = np.ones((n, 1)), [], np.zeros((n, 0)), {}
     for name, y in zip(CATEGORIES, labels, strict=True):
         full = Rows(*pairs, np.hstack([earlier / 10, ones]))
@@ -155,14 +168,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
     got = rows.mapInArrow(present_words, "quality int, toxic int, words array<long>").toArrow()
     table = got.combine_chunks()
-    words = table.column("words").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
-    first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-    hashes = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    order = sorted(range(len(words)), key=lambda i: (hashes[first[i] : first[i] + 4].tolist(), first[i + 1] - first[i]))
+    if not table.num_rows:
+        return fit_chain(*(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    words = table.column("words").combine_chunks()
+    offsets = np.asarray(words.offsets).astype(np.int64)
+    hashes = np.asarray(words.values)[offsets[0] : offsets[-1]].view(np.uint64)
     quality, toxic = (table.column(c).to_numpy().astype(np.int64) for c in ("quality", "toxic"))
-    pieces = [hashes[first[i] : first[i + 1]] for i in order]
-    first = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
-    return fit_chain(quality[order], toxic[order], np.concatenate(pieces) if pieces else hashes, first)
+    return fit_chain(quality, toxic, hashes, offsets - offsets[0])
 
 
 def scorer(chain: Chain, columns: list[str]):
