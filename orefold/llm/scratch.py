@@ -7,9 +7,12 @@ machine) a temporary folder is made and set. Tables are removed when the applica
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
@@ -37,10 +40,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
+    release()
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give the memory of freed arrays back to the system; a long pipeline's driver would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+    if trim is not None:
+        trim(0)
+
+
 def _clear() -> None:
     for spark, path in _MADE:
         try:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .scratch import release
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 SAMPLE = 8_000
@@ -174,7 +175,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
     offsets = np.asarray(words.offsets).astype(np.int64)
     hashes = np.asarray(words.values)[offsets[0] : offsets[-1]].view(np.uint64)
     quality, toxic = (table.column(c).to_numpy().astype(np.int64) for c in ("quality", "toxic"))
-    return fit_chain(quality, toxic, hashes, offsets - offsets[0])
+    chain = fit_chain(quality, toxic, hashes, offsets - offsets[0])
+    del got, table, words, hashes, rows
+    release()
+    return chain
 
 
 def scorer(chain: Chain, columns: list[str]):
