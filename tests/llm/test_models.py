@@ -69,6 +69,15 @@ def test_leaks(spark):
     assert kept == set(range(123)) - {d for d, _ in got}
 
 
+def test_leaks_of_long_short_and_repetitive_items(spark):
+    rnd = random.Random(7)
+    items = [words(rnd, n) for n in (300, 500, 800, 800, 8, 10, 12)] + [["tick"] * 30, ["tock"] * 400]
+    texts = [" ".join([*words(rnd, 150), *w, *words(rnd, 150)]) for w in items] + [" ".join(words(rnd, 400)) for _ in range(60)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in decontaminate.leaks(frame(spark, texts), bench).collect()}
+    assert got == {(k, k): 1.0 for k in range(len(items))}
+
+
 def test_leaks_edges(spark):
     docs, none = frame(spark, ["a b c", None]), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, none).isEmpty() and decontaminate.without_leaks(docs, none).count() == 2
