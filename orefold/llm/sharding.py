@@ -3,7 +3,8 @@
 Pass one counts records per bucket; pass two scatters the records into buckets by seeded hashes,
 shuffles each bucket (Fisher-Yates, Spark's ``shuffle`` of an array in a fixed order) and numbers
 its records behind those of the shard's earlier buckets. A bucket holds about ``bucket_rows``
-records, whatever the size of the input, so no task holds more than a few buckets.
+records or ``bucket_bytes`` of texts, whichever is less, whatever the size of the input, so no task
+holds more than a few buckets.
 
 The law is ``key``: a shard is chosen by rendezvous hashing, so it depends on the key and the number
 of shards alone, and one more shard takes records only into itself. A null key counts as a key.
@@ -15,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import new_path
+
 LAW = "key"
+BUCKET_BYTES = 8 << 20
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -32,17 +36,24 @@ def _compare(a: Column, b: Column) -> Column:
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
 
 
+def buckets_a_shard(df: DataFrame, shards: int, bucket_rows: int, bucket_bytes: int) -> int:
+    """So many buckets that each has about ``bucket_rows`` records and ``bucket_bytes`` of texts at most."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    rows, size = df.agg(F.count("*"), F.sum(sum(sizes, F.lit(0).cast("long")))).first()
+    return max(1, -(-rows // (shards * bucket_rows)), -(-(size or 0) // (shards * bucket_bytes)))
+
+
 def shuffle_into_shards(
-    df: DataFrame, key: str, shards: int = 16, seed: int = 17, bucket_rows: int = 8192
+    df: DataFrame, key: str, shards: int = 16, seed: int = 17, bucket_rows: int = 8192, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """All columns of ``df``, with ``shard`` and a gapless ``slot`` from 0 inside the shard.
 
     Columns of these names in the input are replaced. An empty table gives an empty result.
     """
-    if bucket_rows < 1 or shards < 1:
-        raise ValueError("shards and bucket_rows must be positive")
+    if bucket_rows < 1 or bucket_bytes < 1 or shards < 1:
+        raise ValueError("shards, bucket_rows and bucket_bytes must be positive")
     df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot", "__sub", "__recs")])
-    per_shard = max(1, -(-df.count() // (shards * bucket_rows)))
+    per_shard = buckets_a_shard(df, shards, bucket_rows, bucket_bytes)
     tasks = max(16, shards * per_shard // 4)
     hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
     placed = df.select(
@@ -81,17 +92,19 @@ def text_crc32(text: Column) -> Column:
 
 
 def shard_digest(documents: DataFrame, shards: int = 16, seed: int = 17, bucket_rows: int = 8192) -> DataFrame:
-    """One row for each document: its size in bytes plus one, checksum, law, shard, slot and grown shard."""
-    records = documents.select(
+    """One row for each document: its size in bytes plus one, checksum, law, shard, slot and grown shard.
+
+    The documents are shuffled and written with their texts; all columns come from the written shards.
+    """
+    spark = documents.sparkSession
+    path = new_path(spark, "shards")
+    write_shards(documents, path, "doc_id", shards=shards, seed=seed, bucket_rows=bucket_rows)
+    kinds = {c: documents.schema[c].dataType.simpleString() for c in ("doc_id", "text")}
+    out = spark.read.schema(f"doc_id {kinds['doc_id']}, text {kinds['text']}, slot long, shard int").parquet(path)
+    return out.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         text_crc32(F.col("text")).alias("text_crc32"),
-    )
-    out = shuffle_into_shards(records, "doc_id", shards, seed, bucket_rows)
-    return out.select(
-        "doc_id",
-        "size",
-        "text_crc32",
         F.lit(LAW).alias("law"),
         "shard",
         "slot",

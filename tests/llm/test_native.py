@@ -39,6 +39,18 @@ def test_shards_edges(spark, tmp_path):
         sharding.shuffle_into_shards(df, "doc_id", 0)
 
 
+def test_shards_hold_texts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(sharding, "new_path", lambda s, name, make=sharding.new_path: written.append(make(s, name)) or written[-1])
+    texts = corpus()
+    rows = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_digest(frame(spark, texts), bucket_rows=2).collect()}
+    files = spark.read.parquet(written[0]).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in files} == rows and {r.doc_id: r.text for r in files} == dict(enumerate(texts))
+    assert sharding.shard_digest(frame(spark, texts).limit(0)).isEmpty()
+    long = frame(spark, ["x" * 1000] * 64)
+    assert sharding.buckets_a_shard(long, 4, 8192, 4000) == 4 and sharding.buckets_a_shard(long, 4, 8, 1 << 20) == 2
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted([s for s in sizes if s is not None], key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
