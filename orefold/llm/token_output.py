@@ -15,6 +15,7 @@ a normaliser or texts with the tokenizer's special strings go through the librar
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,9 @@ END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 1 << 20
 PART_BYTES = 24 << 20
-CACHE = 600_000
+CHUNK_BYTES = 256 << 10
+SLOTS = 1 << 21
+MOST_IDS = 8 << 20
 #: One row of 16 bytes for each part: at most 16 MB are broadcast, above it the join shuffles.
 MOST_BROADCAST_PARTS = 1_000_000
 
@@ -58,6 +61,16 @@ def _classes() -> np.ndarray:
 _class_table: list[np.ndarray] = []
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    moved = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + k) for k, b in enumerate(moved)}}
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 def pretoken_starts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """True where a pre-token starts; documents begin at the offsets and share none."""
     if not _class_table:
@@ -96,15 +109,20 @@ def pretoken_starts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of many texts at once, the same as the library gives one by one."""
+    """Ids of many texts at once, the same as the library gives one by one.
 
-    def __init__(self, path: str, cache: int = CACHE):
+    The library's model encodes each distinct pre-token. Results stay in a table with one slot for each hash
+    value below ``slots``; a newer pre-token takes the slot of an older one, and a table of ``most_ids`` ids is emptied.
+    """
+
+    def __init__(self, path: str, slots: int = SLOTS, most_ids: int = MOST_IDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -112,36 +130,34 @@ class Encoder:
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
             and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not spec.get("truncation") and not spec.get("padding")
         )
-        line = self._plain(["\n"])[0]
-        self.split = self.split and len(line) == 1
-        self.line = line[0] if len(line) else -1
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
-        self.limit = cache
+        self.slots, self.most_ids = slots, most_ids
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.keys, self.low, self.size = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], blanks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in a row and sizes of pre-tokens: words, in long runs of lines, then white space, one by one."""
-        values, sizes = [], []
-        for s in range(0, len(words), 5000):
-            run = words[s : s + 5000]
-            ids = self._plain(["\n".join([*run, ""])])[0]
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) != len(run):
-                raise RuntimeError("lines were not kept apart")
-            values.append(ids[ids != self.line])
-            sizes.append(np.diff(cuts, prepend=-1) - 1)
-        if blanks:
-            apart = self._plain(blanks)
-            values += apart
-            sizes.append(np.array([len(x) for x in apart]))
-        return np.concatenate(values), np.concatenate(sizes)
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pre-tokens; where the ids of each start in ``ids``, and how many there are."""
+        tokenize, line = self.model.tokenize, _BYTE_CHARS[10]
+        shown = "\n".join(["" if "\n" in w else w for w in words]).encode().decode("latin-1").translate(_BYTE_CHARS).split(line)
+        for k in [k for k, w in enumerate(words) if "\n" in w]:
+            shown[k] = words[k].encode().decode("latin-1").translate(_BYTE_CHARS)
+        found = [[t.id for t in tokenize(w)] for w in shown]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(sizes.sum())
+        if self.used + total > self.most_ids:
+            self._clear()
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.int32)])
+        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.int32, total)
+        low = self.used + np.cumsum(sizes, dtype=np.int32) - sizes
+        self.used += total
+        return low, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the places where each text's ids start."""
@@ -163,27 +179,24 @@ class Encoder:
         starts = np.flatnonzero(pretoken_starts(codes, offsets))
         ends = np.append(starts[1:], len(codes))
         hashes = tk.hash_spans(codes, starts, ends)
-        found, some, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > self.limit:
-            self._clear()
-        at = np.minimum(np.searchsorted(self.keys, found), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != found if len(self.keys) else np.ones(len(found), bool)
-        if new.any():
-            fresh = some[new]
-            blank = _class_table[0][codes[ends[fresh] - 1]] == _SPACE
-            cut = lambda rows: [joined[s:e] for s, e in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)]
-            values, sizes = self._words(cut(fresh[~blank]), cut(fresh[blank]))
-            place = len(self.first) - 1 + np.where(blank, np.sum(~blank) + np.cumsum(blank), np.cumsum(~blank)) - 1
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, values])
-            spot = np.searchsorted(self.keys, found[new])
-            self.keys, self.at = np.insert(self.keys, spot, found[new]), np.insert(self.at, spot, place)
-            at = np.searchsorted(self.keys, found)
-        entry = self.at[at][back]
-        low, size = self.first[entry], np.diff(self.first)[entry]
-        total = np.cumsum(size)
-        values = self.ids[np.repeat(low - (total - size), size) + np.arange(total[-1])]
-        ahead = np.concatenate([[0], total])
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        miss = np.flatnonzero(self.keys[slot] != hashes)
+        if len(miss):
+            found, some, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            at = miss[some]
+            words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            low_new, size_new = self._learn(words)
+            if self.used == int(size_new.sum()) and len(miss) < len(hashes):  # the table was emptied: encode this chunk anew
+                self._clear()
+                return self._split(texts)
+            low, size = self.low[slot], self.size[slot]
+            low[miss], size[miss] = low_new[back], size_new[back]
+            self.keys[slot[at]], self.low[slot[at]], self.size[slot[at]] = found, low_new, size_new
+        else:
+            low, size = self.low[slot], self.size[slot]
+        ahead = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=ahead[1:])
+        values = self.ids[np.repeat(low - ahead[:-1], size) + np.arange(ahead[-1])]
         return values, ahead[np.searchsorted(starts, offsets)]
 
 
@@ -197,7 +210,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = encoder_of(path), 0
         for batch in batches:
-            for part, _, offsets in tk.chunks(batch, "text", 1 << 20):
+            for part, _, offsets in tk.chunks(batch, "text", CHUNK_BYTES):
                 values, first = encoder.encode([t or "" for t in part.column("text").to_pylist()])
                 n = len(offsets) - 1
                 sizes = np.diff(first) + 1
