@@ -42,15 +42,52 @@ def test_top_k_edges(spark):
     assert got == [(0, 1, 3, 163840), (0, 2, 3, 163840), (0, 3, 1, 65536), (0, 4, 2, 0)]
 
 
+def best_of(x, ids, q, own, k):
+    s = x @ q
+    return sorted(((int(v), int(i)) for v, i in zip(s, ids, strict=True) if i != own), key=lambda t: (-t[0], t[1]))[:k]
+
+
 def test_bounds_skip_work():
     rng = np.random.default_rng(0)
     centers = rng.normal(0, 300, (20, 4))
     x = (centers[rng.integers(0, 20, 4000)] + rng.normal(0, 5, (4000, 4))).astype(int)
-    tree = mtree_search.MTree(np.arange(4000), x)
+    tree = mtree_search.MTree(np.arange(4000), x, page=32)
     assert len(tree.pages) > 50
-    for q in range(0, 4000, 400):
-        s = x @ x[q]
-        assert tree.search(x[q], 5, q) == sorted(((int(s[i]), i) for i in range(4000) if i != q), key=lambda t: (-t[0], t[1]))[:5]
+    asked = np.arange(0, 4000, 400)
+    for block in (asked, asked[:1]):
+        tree.computed = 0
+        scores, ids = tree.search(x[block], block, 5)
+        for q, s, i in zip(block, scores, ids, strict=True):
+            assert list(zip(s.tolist(), i.tolist(), strict=True)) == best_of(x, np.arange(4000), x[q], q, 5)
+        assert tree.computed < 0.5 * len(block) * len(x)
+
+
+@pytest.mark.parametrize("big", [1, 1 << 23])
+def test_floors_and_large_integers(big):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-200, 200, (900, 6)) * big
+    tree = mtree_search.MTree(np.arange(900) * 3, x, top=9.0 * big * big * 200**2, page=16, fan=4)
+    for q in range(0, 900, 100):
+        want = best_of(x, np.arange(900) * 3, x[q], 3 * q, 4)
+        scores, ids = tree.search(x[[q]], np.array([3 * q]), 4, np.array([want[1][0]]))
+        got = [(int(s), int(i)) for s, i in zip(scores[0], ids[0], strict=True) if s > mtree_search._NONE]
+        assert got[:2] == want[:2] and all(s >= want[1][0] for s, _ in got)
+
+
+def test_top_k_ties_over_shards(spark):
+    """Equal scores in many shards go to the smallest ids; without room for the routes all shards are asked."""
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.5, 0.5]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", mtree_search.integer_vector("embedding").alias("v"))
+    for route in (0, 1 << 20):
+        got = mtree_search.top_k(df, df.filter("vec_id in (1, 399)"), 3, shard_rows=30, block_rows=1, route_bytes=route)
+        found = {q: [(r.vec_id, r.score) for r in got.filter(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 399)}
+        assert found == {1: [(2, 65536), (4, 65536), (5, 65536)], 399: [(0, 32768), (1, 32768), (2, 32768)]}
+
+
+def test_top_k_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e12, 1e12]), (1, [-1e12, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        mtree_search.top_k_digest(df)
 
 
 def test_token_files(spark, tmp_path):
