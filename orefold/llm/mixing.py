@@ -5,12 +5,14 @@ entropy -sum m_i (r_i log r_i + (most - r_i) log(most - r_i)) under one token co
 source, sum r_i size_i = target_s, with entropy weights m_i = sqrt(size_i * mean size of s). The dual
 is convex with one variable for each source, and its solution tilts the rates exponentially:
 r_i = most * t / (1 + t), t = exp(lambda_s * sqrt(size_i / mean_s)). Newton steps run for all
-sources at once as aggregates over (source, size) counts, each step kept inside a shrinking bracket.
-No document row and no source is brought to the driver.
-
-Rates become copies in three steps that are the same on every run: all documents of one source and
-size share floor(n r + u) copies, u hashed from source and size; what then misses the target is
-moved by the largest sizes that fit, again and again; inside a (source, size) group the copies go
+sources at once as aggregates over (source, size) counts. A step that leaves the bracket known so far halves
+it, or doubles its distance where the bracket is still open; steps end when every source is within half a word of its
+target, or its bracket has no number left between its ends. Sums are taken in decimals, so they don't depend
+on the order of rows and reruns on other partitions agree. No document row and no source is brought to the driver.
+
+Rates become copies in three steps that are the same on every run: along the sizes of a source the copies follow the
+running sum of the rates, so the words are off by one largest document at most; what then misses the target is
+moved by the largest sizes that fit until none fits; inside a (source, size) group the copies go
 to documents in the order of a seeded hash, ranked in hash buckets so that no group is one task.
 """
 
@@ -26,8 +28,11 @@ from .scratch import save
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-NEWTON_STEPS = 14
-HASH_BUCKETS = 256
+HALF_WORD = 0.5
+#: Steps of the dual; a bracket of doubles closes in fewer, so more than these are an error.
+MOST_STEPS = 200
+#: Rows of one hash bucket of a group, about.
+BUCKET_ROWS = 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -69,65 +74,85 @@ def source_targets(
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS) -> DataFrame:
-    """``source, size, n, rate``: the balanced rate of each (source, size) group of positive size."""
+def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: int = MOST_STEPS) -> DataFrame:
+    """``source, size, n, rate``: the balanced rate of each (source, size) group of positive size.
+
+    A source whose target is at ``most`` times its size gets the rate ``most`` everywhere, one with a target of 0 the rate 0.
+    """
     found = sizes.filter("size > 0")
-    means = found.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    words_of, many = F.sum((F.col("size") * F.col("n")).cast("decimal(38,0)")), F.sum("n")
+    means = found.groupBy("source").agg((words_of.cast("double") / many).alias("mean"))
+    none = F.lit(None).cast("double")
     state = save(
-        targets.join(means, targets["source"].eqNullSafe(means["source"])).select(
-            targets["source"], "source_size", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi")
-        ),
+        _with(targets, means, "mean").select("source", "source_size", "target", "mean", F.lit(0.0).alias("lam"), none.alias("lo"), none.alias("hi"), F.lit(False).alias("done")),
         "mix-dual",
     )
     cap = F.lit(float(most))
     rate = cap / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("lam") * F.col("x")))))
     tilt = F.sqrt(F.col("size") / F.col("mean")).alias("x")
-    for step in range(steps):
+    whole = F.col("target") >= F.col("source_size") * cap
+    for _ in range(steps):
+        open_ = state.filter(~F.col("done") & ~whole & (F.col("target") > 0))
+        if open_.isEmpty():
+            break
+        m, r = F.col("size") * F.col("n"), F.col("r")
+        exact = lambda c: F.sum(c.cast("decimal(38,10)")).cast("double")
         moments = (
-            _with(found, state, "mean", "lam")
-            .select("source", "size", "n", "lam", tilt)
-            .select("source", (F.col("size") * F.col("n")).alias("m"), "x", rate.alias("r"))
+            _with(found, open_, "mean", "lam", how="inner")
+            .select("source", "size", "n", tilt, "lam")
+            .withColumn("r", rate)
             .groupBy("source")
-            .agg(F.sum(F.col("m") * F.col("r")).alias("g"), F.sum(F.col("m") * F.col("x") * F.col("r") * (1 - F.col("r") / cap)).alias("h"))
+            .agg(exact(m * r).alias("g"), exact(m * F.col("x") * r * (1 - r / cap)).alias("h"))
         )
-        lo = F.when(F.col("g") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(F.col("g") >= F.col("target"), F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") + (F.col("target") - F.col("g")) / F.greatest(F.col("h"), F.lit(1e-12))
-        limited = F.least(F.col("lam") + 4.0, F.greatest(F.col("lam") - 4.0, newton))
-        middle = (F.col("lo") + F.col("hi")) / 2
-        moved = _with(state, moments, "g", "h").select(
-            "source", "source_size", "target", "mean", limited.alias("to"), lo.alias("lo"), hi.alias("hi")
-        )
-        state = moved.select(
-            "source", "source_size", "target", "mean",
-            F.when((F.col("to") > F.col("lo")) & (F.col("to") < F.col("hi")), F.col("to")).otherwise(middle).alias("lam"), "lo", "hi",
+        gap = F.col("target") - F.col("g")
+        lam = F.col("lam")
+        asked = _with(state, moments, "g", "h").withColumns({
+            "lo": F.when(gap > 0, lam).otherwise(F.col("lo")), "hi": F.when(gap < 0, lam).otherwise(F.col("hi")),
+        }).withColumn("to", lam + gap / F.greatest(F.col("h"), F.lit(1e-300)))
+        lo, hi, to = F.col("lo"), F.col("hi"), F.col("to")
+        further = F.when(hi.isNull(), lam + F.greatest(F.lit(1.0), F.abs(lam))).otherwise(lam - F.greatest(F.lit(1.0), F.abs(lam)))
+        inside = (lo.isNull() | (to > lo)) & (hi.isNull() | (to < hi)) & (F.abs(to - lam) <= F.greatest(F.lit(4.0), F.abs(lam)))
+        middle = (lo + hi) / 2
+        moved = F.when(inside, to).when(lo.isNull() | hi.isNull(), further).otherwise(middle)
+        closed = ~inside & lo.isNotNull() & hi.isNotNull() & ((middle <= lo) | (middle >= hi))
+        done = F.col("done") | (F.abs(gap) < HALF_WORD) | closed
+        state = save(
+            asked.select(
+                "source", "source_size", "target", "mean", F.when(F.col("g").isNull() | done, lam).otherwise(moved).alias("lam"), "lo", "hi",
+                F.coalesce(done, F.lit(False)).alias("done"),
+            ),
+            "mix-dual",
         )
-        if step % 2:
-            state = save(state, "mix-dual")
-    full = F.col("target") >= F.col("source_size") * cap
+    else:
+        raise RuntimeError(f"the dual did not converge in {steps} steps")
     return _with(found, state, "mean", "lam", "target", "source_size").select(
         "source", "size", "n", "target", "lam", "source_size", tilt
-    ).select("source", "size", "n", F.when(full, cap).when(F.col("target") <= 0, 0.0).otherwise(rate).alias("rate"))
+    ).select("source", "size", "n", F.when(whole, cap).when(F.col("target") <= 0, 0.0).otherwise(rate).alias("rate"))
 
 
-def _with(left: DataFrame, right: DataFrame, *columns: str) -> DataFrame:
+def _with(left: DataFrame, right: DataFrame, *columns: str, how: str = "left") -> DataFrame:
     """Left's rows with right's columns of the same source; null is a source."""
     other = right.select(F.col("source").alias("__s"), *columns)
-    return left.join(other, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    return left.join(other, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
 
 
-def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: int = 5, rounds: int = 40) -> DataFrame:
-    """``source, size, n, copies``: whole copies of each group, their words as near the targets as sizes allow."""
-    u = (F.xxhash64("source", "size", F.lit(seed)).bitwiseAND(F.lit(0xFFFFF))) / F.lit(float(1 << 20))
-    exact = F.col("n") * F.col("rate")
-    groups = save(
-        rates.select("source", "size", "n", F.least(F.col("n") * most, F.floor(exact + u)).cast("long").alias("copies")), "mix-copies"
-    )
+def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: int = 5) -> DataFrame:
+    """``source, size, n, copies``: whole copies of each group, their words as near the targets as sizes allow.
+
+    The running sum of exact copies, by size, is rounded down after a seeded shift, and a group gets what it adds to that; so
+    the words of a source are off by less than its largest document. A later round moves the largest size that fits in
+    what misses; gaps shrink with every round, which ends when no document fits.
+    """
+    u = (F.xxhash64("source", F.lit(seed)).bitwiseAND(F.lit(0xFFFFF))) / F.lit(float(1 << 20))
+    so_far = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    running = rates.withColumn("sum", F.floor(so_far + u))
+    before = F.lag("sum", 1, 0).over(Window.partitionBy("source").orderBy("size"))
+    copies = F.greatest(F.lit(0), F.least(F.col("n") * most, F.col("sum") - before)).cast("long")
+    groups = save(running.select("source", "size", "n", copies.alias("copies")), "mix-copies")
     goal = F.round("target").cast("long")
-    for turn in range(rounds):
-        gaps = _with(
-            targets.select("source", goal.alias("goal")), groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got")), "got"
-        ).select("source", (F.col("goal") - F.col("got")).alias("gap"))
+    while True:
+        got = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
+        gaps = _with(targets.select("source", goal.alias("goal")), got, "got").select("source", (F.col("goal") - F.col("got")).alias("gap"))
         room = F.when(F.col("gap") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
         steps = (
             _with(groups, gaps, "gap")
@@ -143,14 +168,12 @@ def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: i
         )
         steps = save(steps, "mix-step")
         if steps.isEmpty():
-            break
+            return groups
         keyed = steps.select(F.col("source").alias("__s"), "at", "by")
         groups = groups.join(keyed, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("at")), "left").select(
             "source", "size", "n", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies")
         )
-        if turn % 4 == 3:
-            groups = save(groups, "mix-copies")
-    return save(groups, "mix-copies")
+        groups = save(groups, "mix-copies")
 
 
 def mix(
@@ -169,15 +192,17 @@ def mix(
     that agree in key, source and size are told apart by nothing and share their group's copies in
     any order. An empty table gives an empty result; an empty source cannot occur.
     """
-    rows = save(
+    sized = save(
         documents.select(
             F.col(key).alias(key),
             F.col(source).cast("string").alias("source"),
             words(F.col(text)).alias("size"),
-            F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(HASH_BUCKETS)).cast("int").alias("bucket"),
+            F.xxhash64(F.lit(seed + 2), F.col(key), F.col(text)).alias("turn"),
         ),
         "mix-rows",
     )
+    many = max(1, -(-sized.count() // BUCKET_ROWS))
+    rows = sized.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "turn"), F.lit(many)))
     buckets = save(rows.groupBy("source", "size", "bucket").agg(F.count("*").alias("n")), "mix-buckets")
     sizes = save(buckets.groupBy("source", "size").agg(F.sum("n").alias("n")), "mix-sizes")
     targets = save(source_targets(sizes, weights, share, most), "mix-targets")
@@ -194,7 +219,7 @@ def mix(
         )
     )
     ranked = rows.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy(F.xxhash64(F.lit(seed + 2), F.col(key)), key))
+        "rank", F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("turn", key))
     )
     given = ranked.join(
         shares,
@@ -202,7 +227,7 @@ def mix(
         "left",
     )
     copies_of = F.coalesce(F.col("each") + (F.col("rank") <= F.col("more")).cast("long"), F.lit(0)).cast("long")
-    return _with(given.select(key, "source", "size", copies_of.alias("copies")), targets, "source_size", "target")
+    return _with(given.select(key, "source", "size", copies_of.alias("copies")), targets, "source_size", "target", how="inner")
 
 
 def mix_digest(documents: DataFrame) -> DataFrame:
