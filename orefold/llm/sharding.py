@@ -4,7 +4,8 @@ Pass one counts records per bucket; pass two scatters the records into buckets b
 shuffles each bucket (Fisher-Yates, Spark's ``shuffle`` of an array in a fixed order) and numbers
 its records behind those of the shard's earlier buckets. A bucket holds about ``bucket_rows``
 records or ``bucket_bytes`` of texts, whichever is less, whatever the size of the input, so no task
-holds more than a few buckets.
+holds more than a few buckets. Records that are alike in every column share a hash; where that makes a bucket too large,
+records part by their places in the input as well.
 
 The law is ``key``: a shard is chosen by rendezvous hashing, so it depends on the key and the number
 of shards alone, and one more shard takes records only into itself. A null key counts as a key.
@@ -20,6 +21,10 @@ from .scratch import new_path
 
 LAW = "key"
 BUCKET_BYTES = 8 << 20
+#: So many buckets are one task's and one file's.
+GROUP = 4
+#: Slots of so many buckets are broadcast (some 24 bytes each); of more they are joined by a shuffle.
+MOST_BROADCAST_BUCKETS = 1_000_000
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -43,33 +48,46 @@ def buckets_a_shard(df: DataFrame, shards: int, bucket_rows: int, bucket_bytes:
     return max(1, -(-rows // (shards * bucket_rows)), -(-(size or 0) // (shards * bucket_bytes)))
 
 
-def shuffle_into_shards(
-    df: DataFrame, key: str, shards: int = 16, seed: int = 17, bucket_rows: int = 8192, bucket_bytes: int = BUCKET_BYTES
-) -> DataFrame:
-    """All columns of ``df``, with ``shard`` and a gapless ``slot`` from 0 inside the shard.
-
-    Columns of these names in the input are replaced. An empty table gives an empty result.
-    """
+def _dealt(df: DataFrame, key: str, shards: int, seed: int, bucket_rows: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The scattered and shuffled records (``shard, __group, __sub, __at, __rec``) and each bucket's first slot."""
     if bucket_rows < 1 or bucket_bytes < 1 or shards < 1:
         raise ValueError("shards, bucket_rows and bucket_bytes must be positive")
-    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot", "__sub", "__recs")])
     per_shard = buckets_a_shard(df, shards, bucket_rows, bucket_bytes)
-    tasks = max(16, shards * per_shard // 4)
     hashed = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
-    placed = df.select(
+    keyed = df.select(
         rendezvous(F.col(key), shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 1), *hashed), F.lit(per_shard)).alias("__sub"),
+        F.xxhash64(F.lit(seed + 1), *hashed).alias("__hash"),
         F.struct(*([F.struct(*hashed).alias("__key")] if len(hashed) < len(df.columns) else []), *[F.col(c) for c in df.columns]).alias("__rec"),
     )
-    counts = placed.groupBy("shard", "__sub").agg(F.count("*").alias("__n"))
+    buckets = lambda salt: keyed.withColumn("__sub", F.pmod(F.col("__hash"), F.lit(per_shard)) + F.lit(per_shard) * salt)
+    counted = lambda placed: placed.groupBy("shard", "__sub").agg(F.count("*").alias("__n"))
+    placed = buckets(F.lit(0))
+    largest = counted(placed).agg(F.max("__n")).first()[0] or 0
+    if largest > 4 * bucket_rows:  # records alike in every column: these part by their places in the input
+        placed = buckets(F.pmod(F.monotonically_increasing_id(), F.lit(-(-largest // bucket_rows))))
     before = Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "shard", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
-    )
-    scattered = placed.repartition(tasks, "shard", "__sub").groupBy("shard", "__sub").agg(F.collect_list("__rec").alias("__recs"))
+    offsets = counted(placed).select("shard", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
+    grouped = placed.withColumn("__group", F.floor(F.col("__sub") / GROUP)).drop("__hash")
+    tasks = max(16, -(-shards * per_shard // GROUP))
+    scattered = grouped.repartition(tasks, "shard", "__group").groupBy("shard", "__group", "__sub").agg(F.collect_list("__rec").alias("__recs"))
     # Spark's shuffle draws on from bucket to bucket of a task: a fixed order of both makes it the same on every run
     ordered = F.array_sort("__recs", _compare) if len(hashed) < len(df.columns) else F.array_sort("__recs")
     shuffled = scattered.sortWithinPartitions("shard", "__sub").select("shard", "__sub", F.shuffle(ordered, F.lit(seed + 2)).alias("__recs"))
+    if shards * per_shard <= MOST_BROADCAST_BUCKETS and largest <= 4 * bucket_rows:
+        offsets = F.broadcast(offsets)
+    return shuffled, offsets
+
+
+def shuffle_into_shards(
+    df: DataFrame, key: str, shards: int = 16, seed: int = 17, bucket_rows: int = 8192, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
+    """All columns of ``df``, with ``shard`` and a gapless ``slot`` from 0 inside the shard.
+
+    Columns of these names in the input are replaced. An empty table gives an empty result. Null keys are a key, null
+    and empty texts are records like others, equal records stay apart.
+    """
+    df = df.drop(*[c for c in df.columns if c.lower() in ("shard", "slot", "__sub", "__recs", "__hash", "__group")])
+    shuffled, offsets = _dealt(df, key, shards, seed, bucket_rows, bucket_bytes)
     dealt = shuffled.join(offsets, ["shard", "__sub"]).select("shard", "__first", F.posexplode("__recs").alias("__at", "__rec"))
     return dealt.select(
         *[F.col("__rec").getField(c).alias(c) for c in df.columns],
@@ -79,11 +97,12 @@ def shuffle_into_shards(
 
 
 def write_shards(df: DataFrame, path: str, key: str, **options) -> None:
-    """Write the shuffled records, one folder for each shard, in slot order inside each file."""
+    """Write the shuffled records, one folder for each shard, in slot order inside each file.
+
+    Every task writes the buckets it has shuffled, so the records travel once. A file holds up to ``GROUP`` buckets.
+    """
     out = shuffle_into_shards(df, key, **options)
-    out.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def text_crc32(text: Column) -> Column:
