@@ -8,19 +8,22 @@ Steps, each linear in the text:
    segment; anchors (one in about 16 bytes) meet by hash, each with a hash of its whole segment.
    Equal segments are one string with a least id: the others lose it whole. Of equal segments in one
    batch only that of the least id travels, so no segment is one task's load.
-2. Segments. Strings whose anchor another, different segment has go to shards, with their bytes.
+2. Segments. Of two segments with one anchor and a window in common, either the anchor with the bytes to its left or
+   that with the bytes to its right, up to half of what a window has beside it, is common, too. Halves of segments
+   for which another, different segment has that go to shards, with their bytes. A half that meets more than ``TILE``
+   others is dealt into tiles, each a shard of its own.
 3. Suffix arrays. Every shard is sorted by induced sorting in parts of about ``part_bytes``; permuted
    common prefixes of ``length`` or more join equal windows, and those whose least id is smaller
-   than their own give the spans to remove.
+   than their own give the spans to remove. Windows of the least id in a tile are compared with those of the other tiles.
 
-Equal texts count once: all but the least id lose every byte (if they have ``length`` bytes). Null
-texts are empty. A null id counts as larger than all others. Rows that repeat one id are not
-repeats of each other. An empty table gives an empty result.
+Equal texts count once: all but the least id lose every byte (if they have ``length`` bytes). Equal texts and equal
+segments are told by 128 bits of hashes. Null texts are empty. A null id counts as larger than all others. Rows that
+repeat one id are not repeats of each other. Texts may be of any length that a row can have. An empty table gives an
+empty result. Other columns take no part.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,22 +37,34 @@ from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 18
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 BUCKET_BYTES = 24 << 20
+TILE = 2048
+#: Texts above this size are searched in overlapping pieces.
+PIECE_BYTES = 1 << 20
+_CHUNK_BYTES = 256 << 10
 _LAST = (1 << 63) - 1
 _HIGH = np.uint64(40)
-_FIVE = np.uint64((1 << 40) - 1)
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each run of windows with one anchor: the anchor's hash, the first and last start, the document."""
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """For each run of windows with one anchor: the anchor's hash, the first and last start, the document, the anchor's place."""
+    if len(offsets) == 2 and len(raw) > PIECE_BYTES + length:
+        pieces = []
+        for s in range(0, len(raw) - length + 1, PIECE_BYTES):
+            piece = raw[s : s + PIECE_BYTES + length - 1]
+            hashes, a, b, owner, at = _anchors(piece, np.array([0, len(piece)]), length, gram)
+            pieces.append((hashes, a + s, b + s, owner, at + s))
+        return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+    return _anchors(raw, offsets, length, gram)
+
+
+def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets) - length + 1
     n, wide = len(raw), length - gram + 1
-    if n >> 28:
-        raise ValueError("a text has more than 256 MB")
     if n < length or not (sizes > 0).any():
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     starts = np.arange(n - gram + 1)
     grams = tk.hash_spans(raw, starts, starts + gram)
     low = (grams & np.uint64(_LAST ^ 0xFFFFFFF)) | starts.astype(np.uint64)
@@ -67,7 +82,18 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
-    return grams[at[first]], window[first], window[last], owner[first]
+    return grams[at[first]], window[first], window[last], owner[first], at[first]
+
+
+def halves(a: np.ndarray, b: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Windows of the segments with at least half of their rest to the left of the anchor, and the other ones.
+
+    For each of both: the first and last start, the string that all of them have (start, end), whether there are any.
+    """
+    half = (length - gram) // 2
+    left = a, np.minimum(b, at - half), at - half, at + gram, a <= at - half
+    right = np.maximum(a, at - half + 1), b, at, at + length - half + 1, b > at - half
+    return left, right
 
 
 def ordinals(owner: np.ndarray, n: int) -> np.ndarray:
@@ -83,10 +109,13 @@ def _least_of(keys: tuple[np.ndarray, ...], ranks: np.ndarray) -> tuple[np.ndarr
     return order, start
 
 
-_FOUND = "rank long, tid long, ord int, whole boolean"
+#: A place: the anchor's number in its text from bit 3 on, the tiles of its halves, and these bits.
+_WHOLE, _LEFT, _RIGHT = 1, 2, 4
+_TILES, _LEFT_TILE, _RIGHT_TILE = 4000, 40, 52
+_FOUND = "rank long, tid long, place long"
 _ANCHORS = "bucket int, docs binary, anchors binary"
 _DOC = np.dtype([("rank", "<i8"), ("tid", "<i8"), ("n", "<u2")])
-_ANCHOR = np.dtype([("low", "u1", 5), ("body", "u1", 6), ("ord", "u1", 4)])
+_ANCHOR = np.dtype([("low", "u1", 5), ("body", "<u8"), ("more", "u1", 3), ("ord", "<u4"), ("left", "<u2"), ("right", "<u2")])
 
 
 def _short(values: np.ndarray, width: int) -> np.ndarray:
@@ -99,126 +128,193 @@ def _long(short: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
+def _described(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors as items with the hashes of their segments and halves, their full hashes, and their documents."""
+    hashes, a, b, owner, at = anchors(raw, offsets, length, gram)
+    items = np.zeros(len(hashes), _ANCHOR)
+    if len(hashes):
+        spans = tk.Spans(raw)
+        items["low"], items["body"], items["more"] = _short(hashes, 5), spans(a, b + length), _short(tk.Spans(raw, tk.OTHER)(a, b + length), 3)
+        items["ord"] = ordinals(owner, len(offsets) - 1)
+        for name, (_, _, s, e, some) in zip(("left", "right"), halves(a, b, at, length, gram), strict=True):
+            items[name][some] = spans(s[some], e[some]) % np.uint64(0xFFFF) + np.uint64(1)
+    return hashes, items, owner
+
+
 def _anchor_rows(buckets: int, length: int, gram: int):
-    """For each bucket and chunk: documents with counts, and 40 bits of each anchor, 48 of its segment, its place.
+    """For each bucket and chunk: documents with counts, and the items of their anchors.
 
     Bucket -1 - b has anchors that need no meeting: an equal segment of a smaller id stands in the chunk.
     """
 
+    def rows_of(held: list[tuple]) -> pa.RecordBatch:
+        hashes, items, owner, ranks, tids = (np.concatenate(x) for x in zip(*held, strict=True))
+        by, start = _least_of((items["body"], _long(items["more"])), ranks)
+        least = np.empty(len(by), np.int64)
+        least[by] = ranks[by][start][np.cumsum(start) - 1]
+        bucket = ((hashes >> _HIGH) % np.uint64(buckets)).astype(np.int64)
+        known = ranks > least
+        bucket[known] = -1 - (owner[known] + tids[known]) % buckets
+        by = np.lexsort((owner, bucket))
+        edges = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))
+        rows: tuple[list, list, list] = ([], [], [])
+        for s, e in zip(edges, np.append(edges[1:], len(by)), strict=True):
+            pick = by[s:e]
+            turn = np.flatnonzero(np.append(True, owner[pick][1:] != owner[pick][:-1]))
+            turn = np.unique(np.concatenate([turn, np.arange(0, len(pick), 60_000)]))
+            docs = np.empty(len(turn), _DOC)
+            docs["rank"], docs["tid"] = ranks[pick[turn]], tids[pick[turn]]
+            docs["n"] = np.diff(np.append(turn, len(pick)))
+            for k, x in enumerate((int(bucket[pick[0]]), docs.tobytes(), items[pick].tobytes())):
+                rows[k].append(x)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["bucket", "docs", "anchors"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offsets in tk.chunks(batch, "text"):
-                tids, ranks = part.column("tid").to_numpy(), part.column("rank").to_numpy()
-                hashes, a, b, owner = anchors(raw, offsets, length, gram)
-                if not len(hashes):
-                    continue
-                bodies, order = tk.hash_spans(raw, a, b + length), ordinals(owner, len(tids))
-                by, start = _least_of((bodies,), ranks[owner])
-                least = np.empty(len(by), np.int64)
-                least[by] = ranks[owner][by][start][np.cumsum(start) - 1]
-                bucket = ((hashes >> _HIGH) % np.uint64(buckets)).astype(np.int64)
-                known = ranks[owner] > least
-                bucket[known] = -1 - (tids[owner[known]] % buckets)
-                by = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1]))
-                rows: tuple[list, list, list] = ([], [], [])
-                for s, e in zip(edges, np.append(edges[1:], len(by)), strict=True):
-                    pick = by[s:e]
-                    turn = np.flatnonzero(np.append(True, owner[pick][1:] != owner[pick][:-1]))
-                    turn = np.unique(np.concatenate([turn, np.arange(0, len(pick), 60_000)]))
-                    docs, items = np.empty(len(turn), _DOC), np.empty(len(pick), _ANCHOR)
-                    docs["rank"], docs["tid"] = ranks[owner[pick[turn]]], tids[owner[pick[turn]]]
-                    docs["n"] = np.diff(np.append(turn, len(pick)))
-                    items["low"], items["body"], items["ord"] = _short(hashes[pick], 5), _short(bodies[pick], 6), _short(order[pick], 4)
-                    for k, x in enumerate((int(bucket[pick[0]]), docs.tobytes(), items.tobytes())):
-                        rows[k].append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["bucket", "docs", "anchors"])
+            held, size, seen = [], 0, 0
+            for part, raw, offsets in tk.chunks(batch, "text", _CHUNK_BYTES):
+                hashes, items, owner = _described(raw, offsets, length, gram)
+                if len(hashes):
+                    ranks, tids = part.column("rank").to_numpy(), part.column("tid").to_numpy()
+                    held.append((hashes, items, owner + seen, ranks[owner], tids[owner]))
+                size, seen = size + len(raw), seen + part.num_rows
+                if held and size >= tk.CHUNK_BYTES:
+                    yield rows_of(held)
+                    held, size, seen = [], 0, 0
+            if held:
+                yield rows_of(held)
 
     return run
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of segments that go whole, and of strings that have to be compared."""
-    held: dict[int, tuple[list, list]] = {}
-    for batch in batches:
-        for k, docs, items in zip(batch.column("bucket").to_pylist(), batch.column("docs").to_pylist(), batch.column("anchors").to_pylist(), strict=True):
-            docs, items = np.frombuffer(docs, _DOC), np.frombuffer(items, _ANCHOR)
-            if k < 0:
-                yield _places(np.repeat(docs["rank"], docs["n"]), np.repeat(docs["tid"], docs["n"]), items, np.ones(len(items), bool))
-            else:
-                held.setdefault(k, ([], []))
-                held[k][0].append(docs)
-                held[k][1].append(items)
-    while held:
-        docs, items = (np.concatenate(x) for x in held.popitem()[1])
+def _tiles(key: np.ndarray, some: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys another row has, too, and the tile (from 1; 0: not dealt) of those that more than ``tile`` rows have."""
+    _, back, many = np.unique(np.where(some, key, np.uint64(0)), return_inverse=True, return_counts=True)
+    many = np.where(some, many[back], 0)
+    out = np.zeros(len(key), np.int64)
+    for k in np.unique(back[many > tile]):
+        rows = np.flatnonzero(some & (back == k))
+        out[rows] = 1 + np.arange(len(rows)) // max(tile, -(-len(rows) // _TILES))
+    return many > 1, out
+
+
+def _meeting(tile: int):
+    """Places of segments that go whole, and of halves that have to be compared; rows come sorted by bucket."""
+
+    def known(docs: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
+        return _places(np.repeat(docs["rank"], docs["n"]), np.repeat(docs["tid"], docs["n"]), items["ord"].astype(np.int64) * 8 + _WHOLE)
+
+    def met(held: list[tuple]) -> pa.RecordBatch:
+        docs, items = (np.concatenate(x) for x in zip(*held, strict=True))
         rank, tid = np.repeat(docs["rank"], docs["n"]), np.repeat(docs["tid"], docs["n"])
-        low, body = _long(items["low"]), _long(items["body"])
-        by, start = _least_of((low, body), rank)
+        low = _long(items["low"])
+        by, start = _least_of((low, items["body"], _long(items["more"])), rank)
         group = np.cumsum(start) - 1
-        least = rank[by][start][group]
-        whole = rank[by] > least
-        meets = np.append(True, low[by][1:] != low[by][:-1])
-        strings = np.bincount(np.cumsum(meets) - 1, weights=start)[np.cumsum(meets) - 1]
-        keep = whole | (strings > 1)
-        yield _places(rank[by][keep], tid[by][keep], items[by[keep]], whole[keep])
+        whole = rank[by] > rank[by][start][group]
+        one = by[start]
+        place = items["ord"][by].astype(np.int64) * 8 + whole * _WHOLE
+        keep = whole.copy()
+        for name, bit, shift in (("left", _LEFT, _LEFT_TILE), ("right", _RIGHT, _RIGHT_TILE)):
+            side = items[name][one]
+            meets, tiles = _tiles((low[one] << np.uint64(16)) | side, side > 0, tile)
+            asked = meets[group] & ~whole
+            place += np.where(asked, bit + (tiles[group] << shift), 0)
+            keep |= asked
+        return _places(rank[by][keep], tid[by][keep], place[keep])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for k, docs, items in zip(*(batch.column(c).to_pylist() for c in ("bucket", "docs", "anchors")), strict=True):
+                pair = np.frombuffer(docs, _DOC), np.frombuffer(items, _ANCHOR)
+                if k < 0:
+                    yield known(*pair)
+                    continue
+                if k != bucket and held:
+                    yield met(held)
+                    held = []
+                bucket = k
+                held.append(pair)
+        if held:
+            yield met(held)
 
-def _places(rank: np.ndarray, tid: np.ndarray, items: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rank), pa.array(tid), pa.array(_long(items["ord"]).astype(np.int32)), pa.array(whole)], ["rank", "tid", "ord", "whole"]
-    )
+    return run
+
+
+def _places(rank: np.ndarray, tid: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rank), pa.array(tid), pa.array(place)], ["rank", "tid", "place"])
 
 
-def _outcome(doc, size: int, cuts: list[tuple[int, int]], kept) -> tuple:
-    return doc, size, sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(kept).hexdigest()
+#: Kinds of rows: a half of a segment; a copy, whose ``start`` is its size; a text with the spans that are known to go.
+_HALF, _COPY, _TEXT = 1, 2, 3
+_STAGE = pa.schema([
+    ("kind", pa.int32()), ("doc_id", pa.int64()), ("rank", pa.int64()), ("tid", pa.int64()), ("shard", pa.int64()), ("tile", pa.int32()),
+    ("start", pa.int64()), ("known", pa.binary()), ("body", pa.binary()),
+])
+_STAGE_SQL = "kind int, doc_id long, rank long, tid long, shard long, tile int, start long, known binary, body binary"
 
 
-_STAGE = "kind int, doc_id long, rank long, tid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shard long, start long, known binary, body binary"
-_NAMES = [c.split()[0] for c in _STAGE.split(", ")]
-_TYPES = [pa.int32(), *[pa.int64()] * 6, pa.string(), *[pa.int64()] * 2, pa.binary(), pa.binary()]
+def _binaries(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An Arrow column of byte spans."""
+    sizes = ends - starts
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    data = raw[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(upto.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _NAMES]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
+def _stage(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _STAGE], schema=_STAGE)
 
 
 def _segments(shards: int, length: int, gram: int):
-    """Results of settled documents (kind 0), segments (1), texts that wait with the spans known so far (3)."""
+    """Copies, halves of segments to compare, and texts with the spans known so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offsets in tk.chunks(batch, "text"):
-                docs, rank, tid = part.column("doc_id").to_pylist(), part.column("rank").to_numpy(), part.column("tid").to_numpy()
-                copies, found = part.column("copy").to_numpy(zero_copy_only=False), part.column("found")
-                waits = np.asarray(found.is_valid()) & ~copies
-                out: list[tuple] = []
-                for i in np.flatnonzero(~waits):
-                    size = int(offsets[i + 1] - offsets[i])
-                    gone = copies[i] and size >= length
-                    body = b"" if gone else raw[offsets[i] : offsets[i + 1]]
-                    out.append((0, docs[i], None, None, *_outcome(None, size, [(0, size)] if gone else [], body)[1:], None, None, None, None))
-                for i in np.flatnonzero(waits):
-                    own = raw[offsets[i] : offsets[i + 1]]
-                    hashes, a, b, _ = anchors(own, np.array([0, len(own)]), length, gram)
-                    places = np.unique(np.asarray(found[i].values))  # ordinal * 2 + whole
-                    whole = places[places % 2 == 1] // 2
-                    compare = np.setdiff1d(places[places % 2 == 0] // 2, whole)
-                    spans = np.stack([a[whole], b[whole] + length], 1).astype("<i8")
-                    where, first, last = (hashes[compare] % np.uint64(shards)).tolist(), a[compare].tolist(), (b[compare] + length).tolist()
-                    body = own.tobytes()
-                    for w, s, e in zip(where, first, last, strict=True):
-                        out.append((1, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, w, s, None, body[s:e]))
-                    out.append((3, docs[i], int(rank[i]), int(tid[i]), None, None, None, None, None, None, spans.tobytes(), body))
-                yield _rows(out)
+            for part, raw, offsets in tk.chunks(batch, "text", _CHUNK_BYTES):
+                n, ids = part.num_rows, part.column("doc_id")
+                rank, tid = part.column("rank").to_numpy(), part.column("tid").to_numpy()
+                sizes = np.diff(offsets)
+                copies = part.column("copy").to_numpy(zero_copy_only=False).astype(bool) & (sizes >= length)
+                at = np.flatnonzero(copies)
+                if len(at):
+                    yield _stage(len(at), kind=pa.array(np.full(len(at), _COPY, np.int32)), doc_id=ids.take(pa.array(at)), rank=pa.array(rank[at]), tid=pa.array(tid[at]), start=pa.array(sizes[at]))
+                hashes, a, b, owner, spot = anchors(raw, offsets, length, gram)
+                found = part.column("found").filter(pa.array(~copies))
+                many = pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy()
+                place = found.flatten().to_numpy()
+                doc = np.repeat(np.flatnonzero(~copies), many)
+                which = np.searchsorted(owner, np.arange(n))[doc] + (place >> 3 & ((1 << 36) - 1))
+                whole = place & _WHOLE > 0
+                gone = np.zeros(len(hashes), bool)
+                gone[which[whole]] = True
+                if len(hashes):
+                    spans = tk.Spans(raw)
+                    for bit, shift, (s, e, low, high, _) in zip((_LEFT, _RIGHT), (_LEFT_TILE, _RIGHT_TILE), halves(a, b, spot, length, gram), strict=True):
+                        pick = (place & bit > 0) & ~gone[which]
+                        g, tiles = which[pick], (place[pick] >> shift) & 0xFFF
+                        if len(g):
+                            shard = (spans(low[g], high[g]) + np.uint64(bit)) % np.uint64(shards)
+                            yield _stage(
+                                len(g), kind=pa.array(np.full(len(g), _HALF, np.int32)), rank=pa.array(rank[doc[pick]]), tid=pa.array(tid[doc[pick]]), shard=pa.array(shard.astype(np.int64)),
+                                tile=pa.array(tiles.astype(np.int32)), start=pa.array(s[g] - offsets[doc[pick]]), body=_binaries(raw, s[g], e[g] + length),
+                            )
+                rest = np.flatnonzero(~copies)
+                if len(rest):
+                    g = np.flatnonzero(gone)
+                    known = np.stack([a[g] - offsets[owner[g]], b[g] + length - offsets[owner[g]]], 1).astype("<i8")
+                    upto = 16 * np.searchsorted(owner[g], np.arange(n + 1))
+                    yield _stage(
+                        len(rest), kind=pa.array(np.full(len(rest), _TEXT, np.int32)), doc_id=ids.take(pa.array(rest)), rank=pa.array(rank[rest]), tid=pa.array(tid[rest]),
+                        known=_binaries(np.frombuffer(known.tobytes(), np.uint8), upto[rest], upto[rest + 1]), body=_binaries(raw, offsets[rest], offsets[rest + 1]),
+                    )
 
     return run
 
 
-def repeated(bodies: list[bytes], ranks: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments with windows that start under a smaller rank: the segment, first and last such start of each run."""
-    text = np.frombuffer(b"".join(bodies), np.uint8)
-    sizes = np.array([len(x) for x in bodies])
+def repeated(text: np.ndarray, sizes: np.ndarray, ranks: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Windows of segments, joined in ``text``, that start under a smaller rank: the segment, first and last such start of each run;
+    and the windows that have the least rank of their equals: the segment and the start."""
     off = np.concatenate([[0], np.cumsum(sizes)])
     order = suffix_array(text)
     agree = common_prefixes(text, order, length)[order]
@@ -231,78 +327,82 @@ def repeated(bodies: list[bytes], ranks: np.ndarray, length: int) -> tuple[np.nd
     hit[order] = (value > least) & inside[order]
     starts, ends = tk.spans(hit, off)
     of = owner[starts]
-    return of, starts - off[of], ends - 1 - off[of]
+    lead = np.flatnonzero(inside & ~hit)
+    return of, starts - off[of], ends - 1 - off[of], owner[lead], lead - off[owner[lead]]
+
+
+_SPANS_SQL = "kind int, rank long, tid long, start long, stop long, w1 long, w2 long"
+_SPANS = [c.split()[0] for c in _SPANS_SQL.split(", ")]
 
 
 def _sorted_shards(part_bytes: int, length: int):
-    """Spans to remove; rows come sorted by shard, and each shard is one suffix array or more."""
+    """Spans to remove (kind 0) and, for tiles, their windows of the least rank with hashes (kind 1); rows come sorted by shard and tile."""
 
-    def solve(bodies, ranks, docs, tids, starts) -> pa.RecordBatch:
-        of, first, last = repeated(bodies, ranks, length)
+    def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        text, off = tk.texts_of(table.column("body").combine_chunks().cast(pa.large_binary()))
+        ranks, tids, starts = (table.column(c).to_numpy() for c in ("rank", "tid", "start"))
+        of, first, last, lead, at = repeated(text, np.diff(off), ranks, length)
         begin = starts[of] + first
-        return pa.RecordBatch.from_arrays(
-            [pa.array(docs[of], pa.int64(), mask=ranks[of] == _LAST), pa.array(tids[of]), pa.array(begin), pa.array(begin + last - first + length)],
-            ["doc_id", "tid", "start", "stop"],
-        )
+        none = np.zeros(len(of), np.int64)
+        columns = np.zeros(len(of), np.int32), ranks[of], tids[of], begin, begin + last - first + length, none, none
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _SPANS)
+        if table.column("tile")[0].as_py():
+            s = off[lead] + at
+            begin = starts[lead] + at
+            hashes = [tk.Spans(text, base)(s, s + length).view(np.int64) for base in (tk._ODD, tk.OTHER)]
+            columns = np.ones(len(lead), np.int32), ranks[lead], tids[lead], begin, begin + length, *hashes
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, size = None, [], 0
-
-        def flush() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            ranks = whole.column("rank").to_numpy()
-            return solve(whole.column("body").to_pylist(), ranks, ranks, whole.column("tid").to_numpy(), whole.column("start").to_numpy())
-
+        place, held, size = None, [], 0
         for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            edges = np.concatenate([[0], np.flatnonzero(shards[1:] != shards[:-1]) + 1, [len(shards)]]) if len(shards) else [0]
+            shards, tiles = batch.column("shard").to_numpy(), batch.column("tile").to_numpy()
+            new = np.flatnonzero((shards[1:] != shards[:-1]) | (tiles[1:] != tiles[:-1])) + 1
+            edges = np.concatenate([[0], new, [len(shards)]]) if len(shards) else [0]
             for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if shards[s] != shard and size >= part_bytes:
-                    yield flush()
+                here = int(shards[s]), int(tiles[s])
+                if held and here != place and (size >= part_bytes or here[1] or place[1]):
+                    yield from solve(held)
                     held, size = [], 0
-                shard = shards[s]
+                place = here
                 piece = batch.slice(s, e - s)
                 held.append(piece)
                 size += pa.compute.sum(pa.compute.binary_length(piece.column("body"))).as_py()
         if held:
-            yield flush()
+            yield from solve(held)
 
     return run
 
 
-def _cut(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, bodies, known, cuts = (batch.column(c).to_pylist() for c in ("doc_id", "body", "known", "cuts"))
-            rows = []
-            for doc, body, sure, spans in zip(docs, bodies, known, cuts, strict=True):
-                merged: list[tuple[int, int]] = []
-                every = [*map(tuple, np.frombuffer(sure, "<i8").reshape(-1, 2).tolist()), *((x["start"], x["stop"]) for x in spans or ())]
-                for s in sorted(every):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]))
-                    else:
-                        merged.append(s)
-                kept = hashlib.sha256()
-                at = 0
-                for s, e in merged:
-                    kept.update(body[at:s])
-                    at = e
-                kept.update(body[at:])
-                rows.append((doc, len(body), sum(e - s for s, e in merged), len(merged), kept.hexdigest()))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            )
-
-    return run
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that stay and the spans that go."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for batch in batches:
+        rows = []
+        for kinds, size, body, sure, spans in zip(*(batch.column(c).to_pylist() for c in ("kind", "start", "body", "known", "cuts")), strict=True):
+            if kinds == _COPY:
+                rows.append((size, b"", [{"start": 0, "stop": size}]))
+                continue
+            merged: list[list[int]] = []
+            for s, e in sorted([*map(tuple, np.frombuffer(sure, "<i8").reshape(-1, 2).tolist()), *((x["start"], x["stop"]) for x in spans or ())]):
+                if merged and s <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], e)
+                else:
+                    merged.append([s, e])
+            edges = [0, *(x for span in merged for x in span), len(body)]
+            kept = b"".join(body[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+            rows.append((len(body), kept, [{"start": s, "stop": e} for s, e in merged]))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), kind), strict=True))], ["doc_id", "n_bytes", "kept", "spans"]
+        )
 
 
 def remove_repeats(
-    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES
+    documents: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES, tile: int = TILE
 ) -> DataFrame:
-    """For every document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
+    """For every document: doc_id, n_bytes, ``kept`` (the bytes that stay) and ``spans`` (start and stop of what goes, apart and ascending)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     source = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -310,34 +410,45 @@ def remove_repeats(
         F.xxhash64(text, F.octet_length(text)).alias("tid"),
         text.alias("text"),
     )
-    total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # written, so that the joins below read plain exchanges, of which a very common text's can be split
+    ids = save(source.select("rank", "tid", F.xxhash64(F.lit(1), "text").alias("other"), F.octet_length("text").alias("size")), "repeat-ids")
+    total = ids.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // bucket_bytes))
     found = (
         source.select("rank", "tid", "text")
         .mapInArrow(_anchor_rows(parts, length, gram), _ANCHORS)
         .repartition(parts, "bucket")
-        .mapInArrow(_meeting, _FOUND)
+        .sortWithinPartitions("bucket")
+        .mapInArrow(_meeting(tile), _FOUND)
     )
-    lists = found.groupBy("rank", "tid").agg(F.collect_list(F.col("ord") * 2 + F.col("whole").cast("int")).alias("found"))
-    lists = save(lists, "repeat-found")
-    # written, so that the join below reads two plain exchanges, of which a very common text's can be split
-    least = save(source.groupBy("tid").agg(F.min("rank").alias("least")), "repeat-least")
-    copies = source.select("rank", "tid").join(least, "tid").groupBy("rank", "tid").agg(F.max(F.col("rank") > F.col("least")).alias("copy"))
+    lists = save(found.groupBy("rank", "tid").agg(F.collect_set("place").alias("found")), "repeat-found")
+    least = save(ids.groupBy("tid", "other").agg(F.min("rank").alias("least")), "repeat-least")
+    copies = ids.join(least, ["tid", "other"]).groupBy("rank", "tid").agg(F.max(F.col("rank") > F.col("least")).alias("copy"))
     marks = save(copies.join(lists, ["rank", "tid"], "left"), "repeat-marks")
     staged = save(
-        source.join(marks, ["rank", "tid"]).select("doc_id", "rank", "tid", "text", "copy", "found").mapInArrow(_segments(parts * 64, length, gram), _STAGE),
+        source.join(marks, ["rank", "tid"]).select("doc_id", "rank", "tid", "text", "copy", "found").mapInArrow(_segments(parts * 64, length, gram), _STAGE_SQL),
         "repeat-stage",
     )
-    spans = (
-        staged.filter("kind = 1")
-        .select("shard", "rank", "tid", "start", "body")
-        .repartition(parts, "shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(_sorted_shards(part_bytes, length), "doc_id long, tid long, start long, stop long")
-        .select(F.coalesce("doc_id", F.lit(_LAST)).alias("rank"), "tid", "start", "stop")
+    spans = save(
+        staged.filter(F.col("kind") == _HALF)
+        .select("shard", "tile", "rank", "tid", "start", "body")
+        .repartition(parts, "shard", "tile")
+        .sortWithinPartitions("shard", "tile")
+        .mapInArrow(_sorted_shards(part_bytes, length), _SPANS_SQL),
+        "repeat-spans",
+    )
+    windows = spans.filter("kind = 1")
+    first = windows.groupBy("w1", "w2").agg(F.min("rank").alias("least"))
+    later = windows.join(first, ["w1", "w2"]).filter("rank > least")
+    every = spans.filter("kind = 0").select("rank", "tid", "start", "stop").unionByName(later.select("rank", "tid", "start", "stop"))
+    cuts = every.groupBy("rank", "tid").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
+    waiting = staged.filter(F.col("kind") != _HALF).select("kind", "doc_id", "rank", "tid", "start", "known", "body").join(cuts, ["rank", "tid"], "left")
+    return waiting.select("kind", "doc_id", "start", "body", "known", "cuts").mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,stop:bigint>>")
+
+
+def repeats_digest(documents: DataFrame, **options) -> DataFrame:
+    """For every document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return remove_repeats(documents, **options).select(
+        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
-    cuts = spans.groupBy("rank", "tid").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    waiting = staged.filter("kind = 3").select("doc_id", "rank", "tid", "known", "body").join(cuts, ["rank", "tid"], "left")
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    done = waiting.select("doc_id", "body", "known", "cuts").mapInArrow(_cut(length), result)
-    return staged.filter("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(done)

@@ -4,8 +4,9 @@ Suffixes are classified as smaller (S) or larger (L) than their right neighbours
 suffixes (LMS) divide the string into substrings. These are sorted by inducing, named, and the string
 of their names is sorted recursively where names repeat. The order of the LMS suffixes then induces
 the whole array: one pass over the buckets upwards places the L suffixes, one downwards the S
-suffixes. Inside a bucket the passes go in rounds, each over all entries known so far, so a bucket
-needs as many rounds as its longest run of one byte, not as many steps as entries.
+suffixes. The passes take many buckets of a large alphabet in one step, so that the recursion, whose symbols are
+names, needs no step for each name. Inside a bucket they go in rounds, each over all entries known so far, so a bucket
+needs as many rounds as its longest run of one symbol, not as many steps as entries.
 """
 
 from __future__ import annotations
@@ -30,108 +31,144 @@ def classify(text: np.ndarray) -> np.ndarray:
     return kind
 
 
-def _place(symbols: np.ndarray, sigma: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by symbol and how many there are of each."""
-    return np.argsort(symbols, kind="stable"), np.bincount(symbols, minlength=sigma)
+def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The suffix array that the given order of the LMS suffixes induces. Symbols are 0, 1, ... and all occur.
 
-
-def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """The suffix array that the given order of the LMS suffixes induces."""
+    Each pass takes as many buckets at once as place no suffix into one another; a bucket that places
+    suffixes into itself goes alone, in rounds over what is new in it. A step is a few calls on whole arrays.
+    """
     n = len(text)
-    counts = np.bincount(text, minlength=sigma)
+    counts = np.bincount(text)
     ends = np.cumsum(counts)
-    heads = (ends - counts).astype(np.int64)
-    smalls = np.bincount(text[kind], minlength=sigma)
-    out = np.full(n, -1, np.int64)
-    order, of_symbol = _place(text[lms], sigma)
-    seeds = np.split(lms[order], np.cumsum(of_symbol)[:-1])
-    fill = heads.copy()
-
-    def push(before: np.ndarray) -> None:
+    heads, sigma = ends - counts, len(counts)
+    out = np.full(n, -1, text.dtype)
+    numbers = np.arange(max(n, sigma) + 1)
+    large = ~kind
+
+    def places(ordered: np.ndarray) -> np.ndarray:
+        """Place of each among its equals, in sorted symbols."""
+        m = len(ordered)
+        start = numbers[:m].copy()
+        start[1:] *= ordered[1:] != ordered[:-1]
+        return numbers[:m] - np.maximum.accumulate(start)
+
+    def push(before: np.ndarray, symbols: np.ndarray) -> None:
         """Append L suffixes to their buckets, in the order given."""
-        at, many = _place(text[before], sigma)
-        some = np.flatnonzero(many)
-        start = np.cumsum(many) - many
-        out[np.repeat(fill[some] - start[some], many[some]) + np.arange(len(before))] = before[at]
-        fill[some] += many[some]
-
-    push(np.array([n - 1]))
-    for c in np.flatnonzero(counts):
+        order = symbols.argsort(kind="stable")
+        symbols = symbols[order]
+        spot = fill[symbols] + places(symbols)
+        out[spot] = before[order]
+        fill[symbols] = spot + 1
+
+    def push_down(before: np.ndarray, symbols: np.ndarray) -> None:
+        """Put S suffixes before those that their buckets' ends have, in the order given."""
+        order = symbols.argsort(kind="stable")
+        symbols = symbols[order]
+        spot = tail[symbols] - 1 - places(symbols)
+        out[spot] = before[order]
+        tail[symbols] = spot
+
+    def preceding(entries: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        before = entries[entries > 0] - 1
+        return before[wanted[before]]
+
+    fill, tail = heads.copy(), ends.copy()
+    if len(lms):
+        push_down(lms[::-1], text[lms[::-1]])
+    seeds = np.flatnonzero(out >= 0)
+    tail = ends.copy()
+    last = np.array([n - 1], text.dtype)
+    push(last, text[last])
+    c, wide = 0, 1
+    while c < sigma:
+        stop = min(sigma, c + wide)
+        before = preceding(out[heads[c] : ends[stop - 1]], large)
+        if not len(before):
+            c, wide = stop, 2 * wide
+            continue
+        into = text[before]
+        # the first buckets of the batch, up to the least bucket that anything so far goes into
+        reach = np.minimum.accumulate(into)
+        of = text[before + 1]
+        late = int((reach <= of).argmax()) if reach[-1] <= of[-1] else len(of)
+        edge = stop if late == len(of) else int(of[late])
+        if late < len(of) or reach[-1] < stop:
+            edge = min(edge, int(reach[max(0, late - 1)])) if late else edge
+            late = int(of.searchsorted(edge))
+        if edge > c:
+            if late:
+                push(before[:late], into[:late])
+            c, wide = edge, 2 * wide if edge == stop else edge - c
+            continue
         done = heads[c]
         while done < fill[c]:
-            now = out[done : fill[c]]
-            done = fill[c]
-            before = now[now > 0] - 1
-            before = before[~kind[before]]
+            now, done = out[done : fill[c]], fill[c]
+            before = preceding(now, large)
             if len(before):
-                push(before)
-        before = seeds[c] - 1
-        before = before[before >= 0]
-        before = before[~kind[before]]
+                push(before, text[before])
+        before = preceding(out[fill[c] : ends[c]], large)
         if len(before):
-            push(before)
-    tail = ends.copy()
-
-    def push_down(before: np.ndarray) -> None:
-        at, many = _place(text[before], sigma)
-        some = np.flatnonzero(many)
-        start = np.cumsum(many) - many
-        out[np.repeat(tail[some] + start[some], many[some]) - 1 - np.arange(len(before))] = before[at]
-        tail[some] -= many[some]
-
-    for c in np.flatnonzero(counts)[::-1]:
+            push(before, text[before])
+        c, wide = c + 1, 1
+    out[seeds] = -1
+    c, wide = sigma - 1, 1
+    while c >= 0:
+        stop = max(-1, c - wide)
+        before = preceding(out[heads[stop + 1] : ends[c]][::-1], kind)
+        if not len(before):
+            c, wide = stop, 2 * wide
+            continue
+        into = text[before]
+        reach = np.maximum.accumulate(into)
+        of = text[before + 1]
+        late = int((reach >= of).argmax()) if reach[-1] >= of[-1] else len(of)
+        edge = stop if late == len(of) else int(of[late])
+        if late < len(of) or reach[-1] > stop:
+            edge = max(edge, int(reach[max(0, late - 1)])) if late else edge
+            late = int((of <= edge).argmax()) if of[-1] <= edge else len(of)
+        if edge < c:
+            if late:
+                push_down(before[:late], into[:late])
+            c, wide = edge, 2 * wide if edge == stop else c - edge
+            continue
         done = ends[c]
         while done > tail[c]:
-            now = out[tail[c] : done][::-1]
-            done = tail[c]
-            before = now[now > 0] - 1
-            before = before[kind[before]]
+            now, done = out[tail[c] : done][::-1], tail[c]
+            before = preceding(now, kind)
             if len(before):
-                push_down(before)
-        before = out[heads[c] : ends[c] - smalls[c]][::-1]
-        before = before[before > 0] - 1
-        before = before[kind[before]]
+                push_down(before, text[before])
+        before = preceding(out[heads[c] : fill[c]][::-1], kind)
         if len(before):
-            push_down(before)
+            push_down(before, text[before])
+        c, wide = c - 1, 1
     return out
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a string of names by doubling ranks; for alphabets too large for buckets."""
-    n, rank, width = len(names), names.astype(np.int64) + 1, 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] if width < n else 0
-        key = rank * (int(rank.max()) + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if new.all():
-            return order
-        width *= 2
-
-
-def suffix_array(text: np.ndarray, sigma: int = 256, most_buckets: int = 1024) -> np.ndarray:
+def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of all suffixes in lexicographic order; a suffix that ends first is smaller."""
-    text = np.ascontiguousarray(text).astype(np.int64)
     n = len(text)
     if n < 2:
         return np.arange(n)
-    if sigma > most_buckets:
-        return _doubled(text)
+    if n >= 1 << 31:
+        raise ValueError("a part has 2 GB or more")
+    _, text = np.unique(text, return_inverse=True) if text.dtype != np.int32 else (None, text)
+    return _sorted_suffixes(text.astype(np.int32)).astype(np.int64)
+
+
+def _sorted_suffixes(text: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of dense symbols, by recursion on the names of its LMS substrings."""
     kind = classify(text)
-    lms = np.flatnonzero(kind[1:] & ~kind[:-1]) + 1
+    lms = (np.flatnonzero(kind[1:] & ~kind[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
-        rough = induce(text, kind, lms, sigma)
-        is_lms = np.zeros(n, bool)
+        rough = induce(text, kind, lms)
+        is_lms = np.zeros(len(text), bool)
         is_lms[lms] = True
-        by_substring = rough[is_lms[rough]]
-        names = _names(text, lms, by_substring)
-        order = suffix_array(names, int(names.max()) + 1, most_buckets) if names.max() + 1 < len(names) else np.argsort(names, kind="stable")
-        lms = lms[order]
-    return induce(text, kind, lms, sigma)
+        names = _names(text, lms, rough[is_lms[rough]])
+        if int(names.max()) + 1 < len(names):
+            lms = lms[_sorted_suffixes(names)]
+        else:
+            lms = lms[np.argsort(names)]
+    return induce(text, kind, lms)
 
 
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -151,8 +188,8 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray
         open_ = open_[equal]
         j += 1
         open_ = open_[j < length[1:][open_]]
-    rank = np.concatenate([[0], np.cumsum(~same)])
-    at = np.empty(n, np.int64)
+    rank = np.concatenate([[0], np.cumsum(~same)]).astype(np.int32)
+    at = np.empty(n, np.int32)
     at[ordered] = rank
     return at[lms]
 

@@ -17,6 +17,8 @@ CHUNK_BYTES = 2 << 20
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SEED = np.uint64(0xD1B54A32D192ED03)
+#: Another odd number: its hashes are independent of the first one's.
+OTHER = 0xC2B2AE3D27D4EB4F
 
 _WORD = np.zeros(256, bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("A") : ord("Z") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[128:] = True
@@ -80,15 +82,23 @@ def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+class Spans:
+    """64-bit hashes of spans of some bytes, from prefix sums that are taken once."""
+
+    def __init__(self, raw: np.ndarray, base: int = _ODD):
+        n = len(raw)
+        self.powers = powers(base, n + 1)
+        self.prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(pow(base, -1, 1 << 64), n + 1)[:n], out=self.prefix[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (self.prefix[ends] - self.prefix[starts]) * self.powers[starts]
+        return mix64(value ^ ((ends - starts).astype(np.uint64) * _SEED))
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans."""
-    n = len(raw)
-    inverse = powers(pow(_ODD, -1, 1 << 64), n + 1)
-    prefix = np.empty(n + 1, np.uint64)
-    prefix[0] = 0
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * inverse[:n], out=prefix[1:])
-    value = (prefix[ends] - prefix[starts]) * powers(_ODD, n + 1)[starts]
-    return mix64(value ^ ((ends - starts).astype(np.uint64) * _SEED))
+    return Spans(raw)(starts, ends)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from orefold.llm import jaccard_join, substring_dedup
+from orefold.llm import suffix_array as sa
 from orefold.llm.suffix_array import common_prefixes, suffix_array
 
 from .helpers import corpus, edited, frame, shingles, words
@@ -75,7 +76,7 @@ def test_suffix_arrays(seed):
         s = rng.integers(0, rng.integers(1, 5) + 1, n).astype(np.uint8) * 50
         b = s.tobytes()
         want = sorted(range(n), key=lambda i: b[i:])
-        order = suffix_array(s, 256, int(rng.choice([1024, 7])))
+        order = suffix_array(s)
         assert order.tolist() == want
         agree = common_prefixes(s, order, 9)
         for k in range(1, n):
@@ -83,6 +84,26 @@ def test_suffix_arrays(seed):
             assert agree[want[k]] == next((j for j in range(9) if x[j : j + 1] != y[j : j + 1] or j >= min(len(x), len(y))), 9)
 
 
+def test_recursion(monkeypatch):
+    """A text whose LMS substrings repeat, and the names of these again."""
+    seen = []
+    inner = sa._sorted_suffixes
+    monkeypatch.setattr(sa, "_sorted_suffixes", lambda text: seen.append(int(text.max()) + 1) or inner(text))
+    rnd = random.Random(5)
+    b = (" ".join(rnd.choice(["the", "then", "there", "hat", "that"]) for _ in range(6000))).encode()
+    order = suffix_array(np.frombuffer(b, np.uint8))
+    assert len(seen) >= 4 and max(seen) > 300
+    assert order.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+def test_anchors_of_long_texts(monkeypatch):
+    raw = np.frombuffer("".join(words(random.Random(1), 3000)).encode(), np.uint8)
+    of = lambda: {w: (int(h), int(p)) for h, a, b, _, p in zip(*substring_dedup.anchors(raw, np.array([0, len(raw)])), strict=True) for w in range(a, b + 1)}
+    whole = of()
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 700)
+    assert of() == whole and len(whole) == len(raw) - 49
+
+
 def brute_cuts(rows, length):
     first = {}
     for rank, text in rows:
@@ -100,11 +121,14 @@ def brute_cuts(rows, length):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_removal(spark, seed):
+@pytest.mark.parametrize("seed, tile", [(0, 2048), (1, 2), (2, 7)])
+def test_removal(spark, seed, tile):
     texts = corpus(seed, 40) + ["ab" * 200, "b" + "ab" * 90, "a" * 300, "a" * 49, "a" * 50, "x" * 50]
     random.Random(seed).shuffle(texts)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, texts), part_bytes=2000, bucket_bytes=4000).collect()}
+    passage = " ".join(words(random.Random(9), 25))
+    texts += [f"{' '.join(words(random.Random(90 + i), 9))} {passage} {' '.join(words(random.Random(900 + i), 9))}" for i in range(40)]
+    found = substring_dedup.repeats_digest(frame(spark, texts), part_bytes=2000, bucket_bytes=4000, tile=tile).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found}
     want = brute_cuts([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
     assert got == dict(enumerate(want))
 
@@ -113,7 +137,15 @@ def test_removal_edges(spark):
     text = "".join(words(random.Random(3), 60))
     rows = [(5, text, 1), (5, text + "!", 1), (None, text, 2), (5, text, 3), (1, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, rank int")
-    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring_dedup.repeats_digest(df).collect())
     n = len(text)
     assert got == [(0, n, n), (1, 0, 0), (5, n, 0), (5, n, 0), (5, n + 1, 0)]
-    assert substring_dedup.remove_repeats(df.limit(0)).isEmpty()
+    assert substring_dedup.repeats_digest(df.limit(0)).isEmpty()
+
+
+def test_removal_gives_texts(spark):
+    text = "".join(words(random.Random(3), 60))
+    rows = {r.doc_id: r for r in substring_dedup.remove_repeats(frame(spark, [text, f"é{text}ü", None])).collect()}
+    n = len(text)
+    assert [bytes(rows[i].kept).decode() for i in range(3)] == [text, "éü", ""]
+    assert [[tuple(s) for s in rows[i].spans] for i in range(3)] == [[], [(2, n + 2)], []]
