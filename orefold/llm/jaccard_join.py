@@ -79,7 +79,7 @@ def _describe(words: int, runs: int, levels: int, choices: float, seed: int):
                 sets, first = tk.shingle_sets(*tk.word_hashes(raw, offsets), words)
                 ids = pa.array(set_ids(sets, first).view(np.int64), mask=np.diff(first) == 0)
                 paths, at = chosen_paths(sets, first, runs, levels, choices, seed)
-                yield pa.RecordBatch.from_arrays([part.column("id"), ids, tk.lists(paths.view(np.int64), at)], ["id", "set", "paths"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("body"), ids, tk.lists(paths.view(np.int64), at)], ["id", "body", "set", "paths"])
 
     return run
 
@@ -90,8 +90,8 @@ def _sets(words: int):
             for part, raw, offsets in tk.chunks(batch, "text"):
                 sets, first = tk.shingle_sets(*tk.word_hashes(raw, offsets), words)
                 asked = part.column("set")
-                right = asked.to_numpy() == set_ids(sets, first).view(np.int64)  # an id may stand on other texts, too
-                yield pa.RecordBatch.from_arrays([asked, tk.lists(sets.view(np.int64), first)], ["set", "shingles"]).filter(pa.array(right))
+                right = asked.to_numpy() == set_ids(sets, first).view(np.int64)  # another text may have the same hash
+                yield pa.RecordBatch.from_arrays([asked, part.column("copies"), tk.lists(sets.view(np.int64), first)], ["set", "copies", "shingles"]).filter(pa.array(right))
 
     return run
 
@@ -197,14 +197,6 @@ def _links(threshold: float):
             for s, e in zip(edges[:-1], edges[1:], strict=True):
                 if e - s < 2:
                     continue
-                if len(np.unique(ids[s:e])) < e - s:  # rows that repeat an id and its text
-                    rows = s + np.sort(np.unique(ids[s:e], return_index=True)[1])
-                    one = batch.take(pa.array(rows))
-                    inner = list(run(iter([one]))) if len(rows) > 1 else []
-                    for x in inner:
-                        for k in range(3):
-                            out[k].append(x.column(k).to_numpy())
-                    continue
                 own = _own_pairs(int(path[s]), chunk[s:e], paths[pat[s] : pat[e]], pat[s : e + 1] - pat[s])
                 common = overlaps(sets[sat[s] : sat[e]], sat[s : e + 1] - sat[s])
                 size = np.diff(sat[s : e + 1])
@@ -219,15 +211,16 @@ def _links(threshold: float):
     return run
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for the nodes of ``node, root`` edges; equal labels in a component only.
 
     Each round takes the least label over every root and node, then jumps to the label's own label,
-    until nothing changes. Labels stay in tables; one number a round comes to the driver.
+    until nothing changes, which labels that only fall make sure of. Labels stay in tables; one number a round
+    comes to the driver.
     """
     edges = save(edges.select("node", "root").union(edges.select(F.col("root").alias("node"), "root")).distinct(), "edges")
     labels = save(edges.groupBy("node").agg(F.min("root").alias("label")), "labels")
-    for _ in range(limit):
+    while True:
         by_root = edges.join(labels, "node").groupBy("root").agg(F.min("label").alias("least"))
         near = edges.join(by_root, "root").groupBy("node").agg(F.min("least").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("far"))
@@ -238,7 +231,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         labels = new
         if done:
             return labels
-    raise RuntimeError(f"no fixpoint within {limit} rounds")
 
 
 def near_duplicates(
@@ -257,15 +249,15 @@ def near_duplicates(
 
     ``class_id`` is the least key of the row's class and ``n_links`` the number of other rows at or
     above the threshold with it. Rows without words (null, empty, punctuation) are alone: class of
-    their own key and no links. Rows that repeat a key each count. A null key is never a class id
-    unless all keys of the class are null. An empty table gives an empty result.
+    their own key and no links. Rows that repeat a key each count; rows with a null key have links like
+    others. A null key is never a class id unless all keys of the class are null. An empty table gives an empty result.
     """
-    source = documents.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    source = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("body"), F.col(text).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     runs = runs_for(recall, threshold, choices, levels)
-    described = save(source.mapInArrow(_describe(words, runs, levels, choices, seed), f"id {id_type}, set long, paths array<long>"), "near-rows")
+    described = save(source.mapInArrow(_describe(words, runs, levels, choices, seed), f"id {id_type}, body long, set long, paths array<long>"), "near-rows")
     nodes = save(
-        described.filter("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.first("paths").alias("paths")),
+        described.filter("set is not null").groupBy("set").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.min(F.struct("id", "body")).alias("row"), F.min("paths").alias("paths")),
         "near-nodes",
     )
     met = nodes.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count("*").alias("met")).filter("met > 1")
@@ -281,11 +273,11 @@ def near_duplicates(
     dealt = live.join(nodes.select("set", "paths"), "set").repartition(*place).sortWithinPartitions(*place)
     shape = "set long, path long, chunk int, a int, b int, paths array<long>"
     needed = save(dealt.select("set", "path", "chunk", "a", "b", "paths").mapInArrow(_needed, shape), "near-needed")
-    wanted = nodes.join(needed.select("set").distinct(), "set", "left_semi").select("set", "copies", F.col("rep").alias("id"))
-    ids = described.select("id", "set").join(wanted, ["id", "set"]).dropDuplicates(["set"])
-    texts = source.join(ids.select("id", "set"), "id").select("set", "text")
-    sets = texts.mapInArrow(_sets(words), "set long, shingles array<long>")
-    full = needed.join(sets.join(wanted.select("set", "copies"), "set"), "set").repartition(*place).sortWithinPartitions(*place)
+    wanted = nodes.join(needed.select("set").distinct(), "set", "left_semi").select("set", "copies", F.col("row.id").alias("of"), F.col("row.body").alias("body"))
+    texts = source.join(wanted, source["id"].eqNullSafe(wanted["of"]) & (source["body"] == wanted["body"])).select("set", "copies", "text")
+    # rows may repeat an id and its text
+    sets = texts.dropDuplicates(["set"]).mapInArrow(_sets(words), "set long, copies long, shingles array<long>")
+    full = needed.join(sets, "set").repartition(*place).sortWithinPartitions(*place)
     links = save(
         full.select("set", "path", "chunk", "a", "b", "paths", "shingles", "copies").mapInArrow(_links(threshold), "set long, root long, links long"),
         "near-links",

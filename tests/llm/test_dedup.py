@@ -57,6 +57,17 @@ def test_join_edges(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_join_null_ids(spark):
+    """Null ids have links to near copies; of rows alike in id and text each counts."""
+    a = words(random.Random(6), 200)
+    near, other = " ".join([*a[:100], "zz", *a[101:]]), " ".join([*a[:50], "yy", *a[51:]])
+    df = spark.createDataFrame([(None, " ".join(a)), (7, near), (None, other), (None, other)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(0, 7, 3)] * 3 + [(7, 7, 3)]
+    none = jaccard_join.near_duplicates(df.filter("doc_id is null")).collect()
+    assert [(r.doc_id, r.class_id, r.n_links) for r in none] == [(None, None, 2)] * 3
+
+
 def test_runs():
     assert jaccard_join.runs_for(0.5) < jaccard_join.runs_for(0.99) <= jaccard_join.runs_for(0.9999)
 
