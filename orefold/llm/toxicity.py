@@ -1,14 +1,14 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories are predicted one after another: ``low_quality``, then ``toxic``, then ``severe`` (a
-toxic text in which a larger part of the words is toxic than in the median toxic text, measured with
-the words' log odds on the training rows). Each model is a logistic regression over the words present
-in the whole text, and gets the logits of the earlier categories as further features. While training,
-those are out-of-fold predictions: rows are put in folds by a hash of their words, so that copies of
-a text are never on both sides; when scoring, they come from the models fitted on all training rows.
+The categories are predicted one after another: ``low_quality``, then ``toxic``. Each model is a logistic
+regression over the words present in the whole text, and gets the probabilities of the earlier categories as
+further features. While training, those are out-of-fold predictions: rows are put in folds by a hash of their
+words, so that copies of a text are never on both sides, and the words a model looks at are chosen
+on its own training rows; when scoring, they come from the models fitted on all training rows. The threshold
+of ``is_toxic`` is chosen on out-of-fold predictions, too.
 
 Training takes at most ``sample`` labelled rows, those with the smallest hashed ids (documented
-bound); the driver gets 64-bit word hashes of these, never texts. Scoring reads every whole text.
+bound); the driver gets 64-bit hashes of the distinct words of these, never texts. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .scratch import release
 
-CATEGORIES = ("low_quality", "toxic", "severe")
+CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 8_000
 FOLDS = 5
 _SLOTS = 1 << 22
@@ -34,7 +34,7 @@ CHI_SQUARE = 15.0
 
 @dataclass(frozen=True)
 class Chain:
-    """Sorted word hashes, a row of weights for each category over words, earlier logits and 1; a threshold."""
+    """Sorted word hashes, a row of weights for each category over words, earlier probabilities and 1; a threshold."""
 
     vocabulary: np.ndarray
     weights: np.ndarray
@@ -92,8 +92,26 @@ def _fit(x: Rows, y: np.ndarray, l2: float = 0.3, steps: int = 200) -> np.ndarra
     return w
 
 
-def _logit(x: Rows, w: np.ndarray) -> np.ndarray:
-    return np.clip(x.times(w), -30, 30)
+def _probability(x: Rows, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x.times(w), -30, 30)))
+
+
+def _parting(rows: np.ndarray, at: np.ndarray, wide: int, labels: tuple[np.ndarray, ...], use: np.ndarray, features: int, common: float) -> np.ndarray:
+    """Which words part one of the classes best in the rows in use, without those in more than ``common`` of them."""
+    n = int(use.sum())
+    inside = use[rows]
+    at, rows = at[inside], rows[inside]
+    seen = np.bincount(at, minlength=wide)
+    chosen = np.zeros(wide, bool)
+    for y in labels:
+        positive = y[use].sum()
+        of_class = np.bincount(at, weights=y[rows], minlength=wide)
+        expected = seen * (positive / n)
+        chi2 = (of_class - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - positive / n), 1e-9)
+        chi2[(seen < min(3, n)) | (seen > max(3, common * n))] = 0
+        best = np.argsort(-chi2, kind="stable")[: features // len(labels)]
+        chosen[best[chi2[best] >= CHI_SQUARE]] = True
+    return chosen
 
 
 def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first: np.ndarray, features: int = 1600, common: float = 0.2) -> Chain:
@@ -106,8 +124,8 @@ def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first:
         return Chain(np.zeros(0, np.uint64), np.zeros(0, object), 0.5)
     lead = np.zeros(n, np.uint64)
     lead[sizes > 0] = words[first[:-1][sizes > 0]]
-    order = np.lexsort((sizes, lead))  # whatever order the rows came in
-    quality, toxic, sizes, lead = quality[order], toxic[order], sizes[order], lead[order]
+    order = np.lexsort((toxic, quality, sizes, lead))  # whatever order the rows came in
+    quality, toxic, lead = quality[order], toxic[order], lead[order]
     slot = (words & np.uint64(_SLOTS - 1)).astype(np.int32)
     count = np.bincount(slot, minlength=_SLOTS)
     keep = ((count >= min(3, n)) & (count <= max(3, common * n)))[slot]
@@ -118,53 +136,46 @@ def fit_chain(quality: np.ndarray, toxic: np.ndarray, words: np.ndarray, first:
     by = np.lexsort((words, rows))
     rows, words = rows[by], words[by]
     vocabulary, at = np.unique(words, return_inverse=True)
-    seen = np.bincount(at, minlength=len(vocabulary))
-    odds = []
-    chosen = np.zeros(len(vocabulary), bool)
-    for y in (1 - quality, toxic):
-        of_class = np.bincount(at, weights=y[rows], minlength=len(vocabulary))
-        rate, rest = (of_class + 0.1) / (y.sum() + 0.2), (seen - of_class + 0.1) / (n - y.sum() + 0.2)
-        odds.append(np.log(rate / rest))
-        expected = seen * (y.sum() / n)
-        chi2 = (of_class - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - y.sum() / n), 1e-9)
-        chi2[(seen < min(3, n)) | (seen > max(3, common * n))] = 0
-        best = np.argsort(-chi2, kind="stable")[: features // 2]
-        chosen[best[chi2[best] >= CHI_SQUARE]] = True
-    vocabulary, place = vocabulary[chosen], np.cumsum(chosen) - 1
-    inside = chosen[at]
-    pairs = rows[inside], place[at[inside]], len(vocabulary)
-    hits = np.bincount(rows, weights=np.where(inside, odds[1][at] > 3, False), minlength=n) / np.maximum(1, sizes)
-    median = np.median(hits[toxic > 0])
-    labels = (1 - quality, toxic, ((toxic > 0) & (hits > median)).astype(np.int64))
+    labels = (1 - quality, toxic)
     fold = (lead % np.uint64(FOLDS)).astype(np.int64)
+    parts = [(fold != f, fold == f) for f in range(FOLDS) if (fold == f).any() and (fold != f).any()]
+    chosen = [_parting(rows, at, len(vocabulary), labels, use, features, common) for use, _ in [(np.ones(n, bool), None), *parts]]
+
+    def matrix(words_in: np.ndarray, dense: np.ndarray) -> Rows:
+        place, inside = np.cumsum(words_in) - 1, words_in[at]
+        return Rows(rows[inside], place[at[inside]], int(words_in.sum()), dense)
+
     ones, weights, earlier, out_of_fold = np.ones((n, 1)), [], np.zeros((n, 0)), {}
     for name, y in zip(CATEGORIES, labels, strict=True):
-        full = Rows(*pairs, np.hstack([earlier / 10, ones]))
-        held = np.zeros(n)
-        for f in range(FOLDS):
-            apart = fold == f
-            if apart.any() and not apart.all():
-                held[apart] = _logit(full.take(apart), _fit(full.take(~apart), y[~apart]))
-        weights.append(_fit(full, y))
+        dense = np.hstack([earlier, ones])
+        held = np.full(n, y.mean())
+        for (use, apart), words_in in zip(parts, chosen[1:], strict=True):
+            x = matrix(words_in, dense)
+            held[apart] = _probability(x.take(apart), _fit(x.take(use), y[use]))
+        weights.append(_fit(matrix(chosen[0], dense), y))
         out_of_fold[name] = held
         earlier = np.hstack([earlier, held[:, None]])
     score = out_of_fold["toxic"]
     cuts = np.unique(np.quantile(score, np.linspace(0, 1, 401)))
-    cuts = cuts[cuts >= 0] if (cuts >= 0).any() else cuts[-1:]
+    cuts = cuts[cuts >= 0.5] if (cuts >= 0.5).any() else cuts[-1:]
     f_half = [1.25 * ((score >= c) & (toxic > 0)).sum() / max(1, (score >= c).sum() + 0.25 * toxic.sum()) for c in cuts]
     best = int(np.argmax(f_half))
     clean = score[toxic == 0]
     below = clean[clean < cuts[best]].max() if (clean < cuts[best]).any() else cuts[best]
-    middle = max(0.0, (cuts[best] + below) / 2)
     rows_of_weights = np.empty(len(CATEGORIES), object)
     rows_of_weights[:] = weights
-    return Chain(vocabulary, rows_of_weights, float(1 / (1 + np.exp(-middle))))
+    return Chain(vocabulary[chosen[0]], rows_of_weights, float(max(0.5, (cuts[best] + below) / 2)))
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` labelled documents; rows with a null label or id take no part."""
+    """Fit on at most ``sample`` labelled ids; rows with a null label or id take no part.
+
+    An id with several labels is toxic if one says so, and of the lowest quality of them; an id with several
+    documents gives a row for each. Without documents or labels, or without toxic ones, nothing is toxic.
+    """
+    agreed = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = (
-        labels.select("doc_id", "quality", "toxic").dropna().orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
+        agreed.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
     )
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "toxic")
     got = rows.mapInArrow(present_words, "quality int, toxic int, words array<long>").toArrow()
@@ -190,21 +201,20 @@ def scorer(chain: Chain, columns: list[str]):
             for part, raw, offsets in tk.chunks(batch, "__text"):
                 words, first = tk.word_hashes(raw, offsets)
                 n = len(offsets) - 1
-                logits = []
+                p = []
                 if size:
                     at = np.minimum(np.searchsorted(chain.vocabulary, words), size - 1)
                     hit = np.flatnonzero(chain.vocabulary[at] == words)
                     pair = np.unique(tk.rows_of(first)[hit] * size + at[hit])
                     for w in chain.weights:
                         value = np.bincount(pair // size, weights=w[pair % size], minlength=n) + w[-1]
-                        for k, earlier in enumerate(logits):
-                            value = value + w[size + k] * np.clip(earlier, -30, 30) / 10
-                        logits.append(value)
+                        for k, earlier in enumerate(p):
+                            value = value + w[size + k] * earlier
+                        p.append(1 / (1 + np.exp(-np.clip(value, -30, 30))))
                 else:
-                    logits = [np.full(n, -30.0) for _ in CATEGORIES]
-                p = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in logits]
+                    p = [np.zeros(n) for _ in CATEGORIES]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), *(pa.array(v, pa.float64()) for v in p), pa.array(p[1] >= chain.threshold)],
+                    [*(part.column(c) for c in columns), *(pa.array(v, pa.float64()) for v in p), pa.array(p[-1] >= chain.threshold)],
                     [*columns, *(f"p_{c}" for c in CATEGORIES), "is_toxic"],
                 )
 
@@ -212,10 +222,29 @@ def scorer(chain: Chain, columns: list[str]):
 
 
 def judge(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """All columns but replaced ones, ``p_<category>`` and ``is_toxic``. Null and empty texts have no words."""
+    """All columns but replaced ones, ``p_<category>`` and ``is_toxic``, for every row.
+
+    Null and empty texts have no words; equal texts get equal probabilities. An empty table gives an empty result.
+    """
     names = {"is_toxic", "__text", *(f"p_{c}" for c in CATEGORIES)}
     columns = [c for c in documents.columns if c.lower() not in names]
     source = documents.select(*columns, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
     added = ", ".join([*(f"p_{c} double" for c in CATEGORIES), "is_toxic boolean"])
     return source.mapInArrow(scorer(chain, columns), f"{kinds}, {added}")
+
+
+def without_toxic(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """The rows that the chain doesn't call toxic, with all their columns, whatever these are called.
+
+    Null and empty texts stay; rows that repeat a text go or stay together. An empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer(chain, [])
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(text))], ["__text"])
+            toxic = [x.column("is_toxic").to_numpy(zero_copy_only=False) for x in score(iter([texts]))]
+            yield batch.filter(pa.array(~np.concatenate([np.zeros(0, bool), *toxic])))
+
+    return documents.mapInArrow(run, documents.schema)
