@@ -15,10 +15,10 @@ from orefold.llm.scratch import save
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go; null and empty texts stay, copies go or stay together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.train(docs.select("doc_id", "text"), labels)
-    return toxicity.judge(docs, chain).filter(~F.col("is_toxic")).select(*docs.columns)
+    return toxicity.without_toxic(docs, chain)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, copies go or stay together."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
