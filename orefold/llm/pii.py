@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The base patterns give e-mail addresses, IP addresses, card and phone numbers; their spans always
-stay. The field then looks at the text around triggers (digits, assigned strings, spelled-out
+stay. The field then looks at the text around triggers (digits, assigned values, words for secrets, spelled-out
 addresses) outside the base spans and adds spans of the kinds ``account``, ``contact``, ``secret``
-and ``tel``. Its edges are whole candidate spans of at most ``MOST_TOKENS`` tokens, scored by features of
-the whole span and its surroundings; all other tokens are single, unscored steps. One dynamic
+and ``tel``. Its edges are whole candidate spans of at most ``MOST_TOKENS`` tokens and ``MOST_CHARS`` characters, scored
+by features of the whole span and its surroundings; all other tokens are single, unscored steps. One dynamic
 program over a window chooses boundaries and kinds jointly. The weights maximise the conditional
 likelihood of generated sentences with known spans, by gradient steps on forward-backward
 expectations; they are fitted here, once for each process, and no document is looked at for it.
@@ -27,7 +27,10 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("account", "contact", "secret", "tel")
 KINDS = BASE_KINDS + FIELD_KINDS
 MOST_TOKENS = 12
+#: The longest candidate; windows grow by more, so that none is cut.
+MOST_CHARS = 512
 _MARGIN = 48
+_GROWTH = 8 * MOST_CHARS
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -107,7 +110,10 @@ def _order(span: Span) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
 
-_TRIGGER = re.compile(r"[0-9]{4}|[0-9]{3}[-. )]|[:=] ?[\"']|[\[( ]dot[\]) ]")
+#: Where a window opens: digits, an assigned value, a spelled-out address; and a value after a word for a secret.
+_TRIGGER = re.compile(r"[0-9]{4}|[0-9]{3}[-. )]|[:=] ?[\"']?(?=[A-Za-z0-9_+/=-]{12})|[\[( ]dot[\]) ]|[\[(]at[\])]")
+_SECRET_WORDS = ("token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential")
+_AFTER_WORD = re.compile(rf"(?:{'|'.join(_SECRET_WORDS)})[a-z]{{0,12}}[\"']?[ :=]{{1,3}}[\"']?(?=[a-z0-9_+/=-]{{12}})")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 _SHAPE = {
     "account": re.compile(r"(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?|[0-9]{9,20}|[0-9]{3,6}(?:[ -][0-9]{2,7}){2,5})"),
@@ -122,7 +128,8 @@ _KEYWORD = {
     "tel": re.compile(r"(?i)(?:tel|phone|call|fax|mobile|ring)\W{0,3}$"),
 }
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}")
-_PER_KIND = 20
+_GROUPED = re.compile(r"[0-9]{1,3}(?:[.,][0-9]{3})+")
+_PER_KIND = 24
 
 
 def span_features(kind: str, text: str, start: int, end: int) -> list[int]:
@@ -152,6 +159,10 @@ def span_features(kind: str, text: str, start: int, end: int) -> list[int]:
         " " in body,
         "(" in body,
         bool(re.match(r"[A-Z]{2}[0-9]{2}", body)),
+        digits == 0 and (body.islower() or body.istitle()),
+        any(c.isupper() for c in body[1:]) and any(c.islower() for c in body),
+        digits == 0 and prev not in "\"'",
+        bool(_GROUPED.fullmatch(body)),
     )
     base = FIELD_KINDS.index(kind) * _PER_KIND
     got += [k + 1 for k, t in enumerate(tests) if t]
@@ -170,7 +181,7 @@ def lattice(text: str, taken: list[Span] = ()) -> tuple[list[tuple[int, int]], l
             if not free[j]:
                 break
             e = tokens[j][1]
-            if e - s > 80:
+            if e - s > MOST_CHARS:
                 break
             for kind in FIELD_KINDS:
                 if _SHAPE[kind].fullmatch(text, s, e):
@@ -239,8 +250,8 @@ def _examples(count: int, seed: int) -> list[tuple[str, list[Span]]]:
             return kind, rnd.choice(["", "mail ", "contact: "]), word() + rnd.choice(["", "." + word()]) + at + word() + dot + rnd.choice(["com", "org", "net"]), ""
         if kind == "secret":
             body = rnd.choice([some("0123456789abcdef", 40), some("0123456789abcdef", 32), some("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop0123456789", rnd.randint(16, 44))])
-            quote = rnd.choice(['"', '"', "'"])
-            return kind, rnd.choice(["token = ", "api_key: ", "password=", "secret = "]) + quote, body, quote
+            quote = rnd.choice(['"', '"', "'", ""])
+            return kind, rnd.choice(["token = ", "api_key: ", "password=", "secret = ", "bearer "]) + quote, body, quote
         a, b, c = digits(3), digits(3), digits(4)
         return kind, rnd.choice(["", "call ", "tel. "]), rnd.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}"]), ""
 
@@ -248,7 +259,7 @@ def _examples(count: int, seed: int) -> list[tuple[str, list[Span]]]:
         return rnd.choice([
             str(rnd.randint(1900, 2030)), f"{rnd.randint(1, 999)},{digits(3)}", f"{rnd.randint(2000, 2030)}-0{rnd.randint(1, 9)}-{rnd.randint(10, 28)}",
             f"{rnd.randint(1, 9)}.{rnd.randint(0, 20)}.{rnd.randint(0, 9)}", digits(4), digits(5), digits(6), f'{word()} = "{word()}"', f"{rnd.randint(10, 23)}:{digits(2)}:{digits(2)}",
-            word() + " dot " + word(), f'{word()} = "{word()}{word()}{word()}{word()}"', f"{digits(3)}-{digits(3)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"ISBN {digits(1)}-{digits(3)}",
+            word() + " dot " + word(), f'{word()} = "{word()}{word()}{word()}{word()}"', f"{word()}: {word()}{word()}{word()}{word()}", f"the key {word()}{word()}{word()}{word()}", f"{digits(3)}-{digits(3)}", f"{digits(2)}.{digits(3)}.{digits(3)}", f"ISBN {digits(1)}-{digits(3)}",
         ])
 
     out = []
@@ -293,18 +304,24 @@ def fit(count: int = 260, epochs: int = 40, seed: int = 7, l2: float = 0.02) ->
 
 def field_spans(text: str, taken: list[Span], weights: np.ndarray) -> list[Span]:
     """Spans that the field adds: windows around all triggers, each decoded as a whole."""
+    places = [m.span() for m in _TRIGGER.finditer(text)]
+    low = text.lower()
+    low = low if len(low) == len(text) else text  # some letters grow, and places would shift
+    if any(w in low for w in _SECRET_WORDS):
+        places = sorted(places + [m.span() for m in _AFTER_WORD.finditer(low)])
     windows: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        s, e = max(0, m.start() - _MARGIN), min(len(text), m.end() + _MARGIN)
+    for s, e in places:
+        s, e = max(0, s - _MARGIN), min(len(text), e + _MARGIN)
         if windows and s <= windows[-1][1]:
-            windows[-1][1] = e
+            windows[-1][1] = max(e, windows[-1][1])
         else:
             windows.append([s, e])
     out, t = [], 0
     for s, e in windows:
-        while s > 0 and not text[s - 1].isspace() and windows[0][0] < s and e - s < 4096:
+        first, high = max(0, s - _GROWTH), min(len(text), e + _GROWTH)
+        while s > first and not text[s - 1].isspace():
             s -= 1
-        while e < len(text) and not text[e].isspace() and e - s < 8192:
+        while e < high and not text[e].isspace():
             e += 1
         while t < len(taken) and taken[t][2] <= s:
             t += 1
@@ -335,25 +352,29 @@ def finder(weights: tuple[float, ...]):
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = field_spans(text, base, w)
+                every = sorted(base + field_spans(text, base, w), key=_order)
                 counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + more, key=_order))))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), bool(every)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
+                ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "is_personal"],
             )
 
     return run
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
-    """For every document: counts of base spans, their SHA-256 and all spans. Null and empty texts have none."""
+    """For every document: counts of base spans, their SHA-256, all spans and whether there are any.
+
+    Null and empty texts have none; rows that repeat an id or a text each have their own. An empty table gives an
+    empty result. Other columns take no part.
+    """
     source = documents.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return source.mapInArrow(finder(fit()), f"doc_id {kind}, {counts}, base_sha256 string, spans string")
+    return source.mapInArrow(finder(fit()), f"doc_id {kind}, {counts}, base_sha256 string, spans string, is_personal boolean")
 
 
 def redact(text: str, spans: list[Span]) -> str:

@@ -115,7 +115,7 @@ def judged(url):
 URLS = [
     None, "", "no scheme", "://", "http://", "https://A.Example.ORG/es/1", "http://example.org/en/12", "http://example.org/en/2", "http://x.com/fr/", "http://com/de/x?y#z",
     "http://notorg/", "http://org", "http://org/", "http://a.org?x/y", "ftp://b.com#/de/", "http://x.com:80/fr/", "http://spam-farm.net/", "http://www.casino.com/fr/a", "http://É.com/de/",
-    "http://a\nb.org/x", "x://y://z.org/es/",
+    "http://a\nb.org/x", "x://y://z.org/es/", "http://casino", "http://casino.x/es/", "http://mycasino.com/", "http://x.org/casino", "http://" + "a" * 70_000 + ".com/fr/" + "b" * 70_000,
 ]
 
 
@@ -132,4 +132,6 @@ def test_urls(spark):
 
 def test_rarest_token(spark):
     urls = spark.createDataFrame([(["h:org", "h:example", "p:es"],), (["h:org"],), (["h:org", "h:example"],)], "tokens array<string>")
-    assert url_filter.rarest_tokens(urls, [("block", "example.org", "/es/"), ("allow", "org", "/")]) == ["p:es", "h:org"]
+    assert url_filter.rarest_tokens(urls, [url_filter.rule_tokens("example.org", "/es/"), url_filter.rule_tokens("org", "/")]) == ["p:es", "h:org"]
+    many = [["h:org", f"h:x{i}"] for i in range(3)] + [["h:org"]]
+    assert url_filter.rarest_tokens(urls, many, inline=2) == ["h:x0", "h:x1", "h:x2", "h:org"]
