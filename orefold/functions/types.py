@@ -16,18 +16,19 @@ NUMERIC = (*INTEGERS, "decimal", "float64")
 
 #: Source type names and their canonical kinds.
 ALIASES = {
-    "varchar": "string", "nvarchar": "string", "char": "string", "nchar": "string", "text": "string", "string": "string",
+    "varchar": "string", "nvarchar": "string", "char": "string", "nchar": "string", "text": "string", "ntext": "string", "string": "string",
+    "uniqueidentifier": "string", "xml": "string",
     "bit": "boolean", "bool": "boolean", "boolean": "boolean",
     "smallint": "int16", "tinyint": "int16", "int": "int32", "integer": "int32", "bigint": "int64", "long": "int64",
     "decimal": "decimal", "numeric": "decimal", "money": "decimal", "float": "float64", "real": "float64", "double": "float64",
     "date": "date", "time": "time", "datetime": "timestamp", "datetime2": "timestamp", "timestamp": "timestamp",
-    "binary": "binary", "varbinary": "binary", "json": "json", "variant": "json",
+    "binary": "binary", "varbinary": "binary", "image": "binary", "json": "json", "variant": "json",
 }
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A canonical type; decimals default to (18, 4)."""
+    """A canonical type; decimals default to a precision of 18 and a scale of 4."""
 
     name: str
     precision: int | None = None
@@ -58,7 +59,7 @@ def of_source(name: str) -> Kind:
     numbers = [int(x) for x in rest.rstrip(") ").split(",") if x.strip().isdigit()]
     kind = ALIASES[head.strip()]
     if kind == "decimal" and numbers:
-        return Kind(kind, numbers[0], numbers[1] if len(numbers) > 1 else 0)
+        return Kind(kind, numbers[0], numbers[1] if len(numbers) > 1 else 4)
     return Kind(kind, length=numbers[0] if numbers and kind == "string" else None)
 
 

@@ -10,6 +10,7 @@ order are an error in both strategies; history of an affected key is rebuilt as
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,8 +105,23 @@ def scd1_changes(newest: DataFrame, target: DataFrame, identity: Sequence[str],
 
 
 def merge(target: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the target whose keys do not change, and the changes."""
-    return target.join(changes.select(*keys).distinct(), list(keys), "left_anti").unionByName(changes)
+    """Rows of the target whose keys do not change, and the changes. A null key is a key, so a repeated merge adds nothing."""
+    given = changes.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return target.join(given, same, "left_anti").unionByName(changes)
+
+
+def rebuild(target: DataFrame | None, rows: DataFrame, keys: Sequence[str], full: bool, allowed: bool) -> DataFrame:
+    """The whole table from the rows where a full rebuild is asked and the policy allows it, else a merge."""
+    if full and not allowed:
+        raise PermissionError("the load policy does not allow a full rebuild")
+    return rows if full or target is None else merge(target, rows, keys)
+
+
+def late_arrivals(events: DataFrame, target: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """Events effective before the newest state that the target holds for their identity."""
+    newest = target.groupBy(*identity).agg(F.max("_source_effective_at").alias("__newest"))
+    return events.join(newest, list(identity)).filter(F.col("_source_effective_at") < F.col("__newest")).drop("__newest")
 
 
 def scd1(events: DataFrame, target: DataFrame | None, identity: Sequence[str], ties: Sequence[str]) -> DataFrame:

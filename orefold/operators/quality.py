@@ -159,6 +159,17 @@ def accepted(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return out
 
 
+def is_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows that lack a value in one of the columns."""
+    return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
+
+
+def row_counts(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """``expected, found``: the rows of both, by two counts that meet on a constant."""
+    one = lambda df, n: df.agg(F.lit(1).alias("__k"), F.count("*").alias(n))
+    return one(expected, "expected").join(one(found, "found"), "__k").select("expected", "found")
+
+
 def not_unique(df: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
     rows = df if where is None else df.filter(where)
     return rows.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import ExpressionError, compile_expr
 from ..functions.hashing import canonical_hash, match_count_name, source_record_key, surrogate_key
 from ..functions.types import Kind, compatible, of_spark
-from ..operators.lookup import AMBIGUOUS, MISSING, lookup, route, with_match_count
+from ..operators.lookup import AMBIGUOUS, MISSING, counted_lookup, first_parent, lookup, unknown_member, with_match_count
 
 
 @dataclass(frozen=True)
@@ -128,17 +128,43 @@ def compile_binding(binding: Binding, source: DataFrame, parents: Mapping[str, D
     rows = rows.withColumn(f"{binding.model}_sk", surrogate_key(*[F.col(c) for c in inputs]))
     tracked = [(F.col(f.target), f.kind) for f in binding.fields if f.tracked and f.kind.name not in ("float64", "json")]
     rows = rows.withColumn("_row_hash", canonical_hash(tracked))
-    refused = None
+    grain, errors, apart = [f"{binding.model}_sk", "_source_record_key"], [], []
     for r in binding.relationships:
         count, key = match_count_name(r.property_uri), r.name
-        joined = lookup(rows, parents[r.parent], [(r.local, r.foreign)], {f"{r.parent}_sk": key}, r.current, r.as_of)
-        counted = with_match_count(joined, [f"{binding.model}_sk"], key, count)
-        rows, apart, errors = route(counted, count, key, r.missing, r.ambiguous)
-        if "error" in (r.missing, r.ambiguous) and not errors.isEmpty():
-            raise RuntimeError(f"{binding.model}.{r.name}: parents are missing or ambiguous")
-        apart = apart.withColumn("_reason", F.lit(r.name))
-        refused = apart if refused is None else refused.unionByName(apart, allowMissingColumns=True)
-    return rows, refused if refused is not None else rows.limit(0).withColumn("_reason", F.lit(""))
+        pairs, bring = [(r.local, r.foreign)], {f"{r.parent}_sk": key}
+        if r.as_of:
+            rows = with_match_count(lookup(rows, parents[r.parent], pairs, bring, r.current, r.as_of), grain, key, count)
+            rows = first_parent(rows, grain, [key])
+        else:
+            rows = counted_lookup(rows, parents[r.parent], pairs, bring, count, r.current)
+        none, many = F.col(count) == 0, F.col(count) > 1
+        fate = F.when(none, F.lit(r.missing)).when(many, F.lit(r.ambiguous)).otherwise(F.lit(""))
+        rows = rows.withColumn(key, F.when(none & F.lit(r.missing == "null"), unknown_member(F.col(key))).otherwise(F.col(key)))
+        errors.append(F.when(fate == "error", F.lit(r.name)))
+        apart.append(F.when(fate == "quarantine", F.lit(r.name)))
+    none = F.lit(None).cast("string")
+    marked = rows.withColumn("_reason", F.coalesce(*apart, none))
+    if any("error" in (r.missing, r.ambiguous) for r in binding.relationships):
+        failed = marked.select(F.coalesce(*errors, none).alias("name")).filter("name is not null").first()
+        if failed:
+            raise RuntimeError(f"{binding.model}.{failed['name']}: parents are missing or ambiguous")
+    return marked.filter("_reason is null").drop("_reason"), marked.filter("_reason is not null")
+
+
+def without_columns(df: DataFrame, excluded: Sequence[str]) -> DataFrame:
+    """The columns whose names are not excluded, in any case of letters; a name that no column has is an error."""
+    plain = {c.lower() for c in excluded}
+    unknown = plain - {c.lower() for c in df.columns}
+    if unknown:
+        raise KeyError(", ".join(sorted(unknown)))
+    return df.select(*[c for c in df.columns if c.lower() not in plain])
+
+
+def guarded(source: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """The source; an empty one is an error unless the policy allows it."""
+    if not allow_empty and source.isEmpty():
+        raise ValueError("the source is empty")
+    return source
 
 
 class Registry:

@@ -115,3 +115,16 @@ def scd1_lookback(spark, d):
 @query(f"WITH {events_sql('soft-delete')} SELECT {_BRIEF} FROM ev WHERE _cdc_operation <> 'soft-delete'")
 def scd_ignore_deletes(spark, d):
     return brief(cdc.handle_deletes(user_events(spark, d, "soft-delete"), "tombstone", "ignore"))
+
+
+@query(f"WITH {_EV}, {_MARKED}, t AS (SELECT user_id, max(_source_effective_at) AS newest FROM m WHERE user_id % 2 = 0 GROUP BY 1) SELECT {_BRIEF} FROM m JOIN t USING (user_id) WHERE _source_effective_at < newest")
+def late_arrivals(spark, d):
+    rows = marked(spark, d)
+    return brief(cdc.late_arrivals(rows, rows.filter("user_id % 2 = 0"), IDENTITY))
+
+
+@query(f"WITH {_EV}, {_MARKED} SELECT {_BRIEF} FROM m WHERE _source_updated_at >= {_SPLIT} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {ORDER_DESC_SQL}) = 1")
+def scd1_full_rebuild(spark, d):
+    rows, cut = marked(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp")
+    old = cdc.latest(rows.filter(F.col("_source_updated_at") < cut), IDENTITY, TIES)
+    return brief(cdc.rebuild(old, cdc.latest(rows.filter(F.col("_source_updated_at") >= cut), IDENTITY, TIES), IDENTITY, True, True))

@@ -9,7 +9,7 @@ from ..functions import macros as M
 from ..functions.expr import compile_expr
 from ..functions.types import Kind
 from ..operators import conform, json_ops
-from ..plans.binding import Registry, columns_of
+from ..plans.binding import Binding, Field, Registry, columns_of, mapped
 from .base import DEC, hash_sql, money, query, stamp, stamp_sql, table
 
 
@@ -41,13 +41,14 @@ def ref_scan(spark, d):
 
 
 @query("""SELECT o_orderkey, o_custkey + o_orderkey AS added, o_orderkey - o_custkey AS subtracted, o_custkey * 3 AS multiplied,
- CAST(CAST(o_totalprice AS DECIMAL(18,2)) - CAST(1.5 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS cheaper, o_orderkey % 7 AS modulo, -o_custkey AS negated FROM orders""")
+ CAST(CAST(o_totalprice AS DECIMAL(18,2)) - CAST(1.5 AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS cheaper, o_orderkey % 7 AS modulo, -o_custkey AS negated, o_orderkey // 3 AS divided FROM orders""")
 def ops_arith(spark, d):
     df = table(spark, d, "orders").withColumn("p", money("o_totalprice"))
     return df.select(*_typed(df, {
         "o_orderkey": col("o_orderkey"), "added": {"op": "add", "args": [col("o_custkey"), col("o_orderkey")]}, "subtracted": {"op": "subtract", "args": [col("o_orderkey"), col("o_custkey")]},
         "multiplied": {"op": "multiply", "args": [col("o_custkey"), lit(3, "int64")]}, "cheaper": {"op": "subtract", "args": [col("p"), lit("1.5", DEC)]},
         "modulo": {"op": "modulo", "args": [col("o_orderkey"), lit(7, "int64")]}, "negated": {"op": "negate", "args": [col("o_custkey")]},
+        "divided": {"op": "divide", "args": [col("o_orderkey"), lit(3, "int64")]},
     }))
 
 
@@ -78,7 +79,8 @@ def fn_scalar(spark, d):
     return df.select("c_custkey", *_typed(df, {
         "abs_bal": f("abs", col("bal")), "joined": f("concat", col("c_name"), lit("/", "string"), col("seg")), "up": f("upper", col("seg")),
         "low": f("lower", col("c_name")), "len": f("length", col("c_name")), "filled": f("coalesce", col("seg"), lit("none", "string")), "nulled": f("nullif", col("c_name"), lit("x", "string")),
-    }), F.round("bal", 1).cast("decimal(18,2)").alias("rounded"))
+        "rounded": f("round", col("bal"), lit(1, "int32")),
+    }))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'final' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'part' END AS state FROM orders""")
@@ -196,7 +198,8 @@ def source_record_key(spark, d):
 
 @query("SELECT s_suppkey, upper(s_name) AS name, 'erp' AS _source_system, md5('erp.suppliers-' || s_suppkey) AS _source_record_key FROM supplier")
 def source_branch(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.upper("s_name").alias("name")).withColumns({"_source_system": F.lit("erp"), "_source_record_key": H.source_record_key("erp.suppliers", F.col("s_suppkey"))})
+    fields = (Field("s_suppkey", col("s_suppkey"), Kind("int64")), Field("name", {"fn": "upper", "args": [col("s_name")]}, Kind("string")))
+    return mapped(Binding("supplier", "erp.suppliers", "erp", ("s_suppkey",), (), fields), table(spark, d, "supplier"))
 
 
 @query("SELECT c_custkey, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_mktsegment || ' ' END), '') AS segment, CAST(c_nationkey AS BIGINT) AS nation, 'crm' AS source_system FROM customer")
@@ -207,7 +210,10 @@ def staging_cleanup(spark, d):
 
 @query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, o_orderpriority AS _tech_priority FROM orders")
 def technical_fields(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", money("o_totalprice").alias("amount"), F.col("o_orderpriority").cast("string").alias("_tech_priority"))
+    rows = table(spark, d, "orders").withColumn("price", money("o_totalprice"))
+    fields = (Field("o_orderkey", col("o_orderkey"), Kind("int64")), Field("amount", col("price"), DEC))
+    technical = (Field("_tech_priority", col("o_orderpriority"), Kind("string")),)
+    return mapped(Binding("order", "shop.orders", "shop", ("o_orderkey",), (), fields, technical=technical), rows).drop("_source_system", "_source_record_key")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")

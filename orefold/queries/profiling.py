@@ -64,17 +64,36 @@ def infer_types(spark, d):
     return P.infer_types(df, df.columns)
 
 
-def _samples(spark):
-    rows = [
-        ("mail", "a@b.org"), ("mail", "c.d@e.com"), ("day", "2024-01-01"), ("day", "2024-02-01x"), ("site", "https://a.org"), ("site", "http://b"), ("tel", "+32 470 12 34"), ("tel", "0470-1234"),
-        ("code", "123"), ("code", "45"), ("mix", "123"), ("mix", "x"), ("long", "1234567"), ("long", "7654321"), ("uid", "123e4567-e89b-12d3-a456-426614174000"),
-    ]
-    return spark.createDataFrame(rows, "`column` string, value string")
+#: The columns that formats are looked for in, as SQL and, below, as Spark expressions.
+_SAMPLES_SQL = """(SELECT 'mail' AS "column", 'u' || o_custkey || '@mail.org' AS value FROM orders UNION ALL SELECT 'day', strftime(o_orderdate, '%Y-%m-%d') FROM orders
+ UNION ALL SELECT 'site', 'https://x.org/' || o_orderkey FROM orders UNION ALL SELECT 'tel', '+32 470 12 ' || (10 + o_custkey % 90) FROM orders UNION ALL SELECT 'code', CAST(10 + o_custkey % 90 AS VARCHAR) FROM orders
+ UNION ALL SELECT 'long', CAST(1000000 + o_custkey AS VARCHAR) FROM orders UNION ALL SELECT 'mix', CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '45' END FROM orders)"""
+_FORMAT_TESTS = " UNION ALL ".join(
+    f"""SELECT "column", {k} AS place, '{n}' AS name FROM {_SAMPLES_SQL} GROUP BY "column" HAVING bool_and(regexp_matches(value, '{p}'))""" for k, (n, p) in enumerate(K.FORMATS)
+)
+
+
+def _samples(spark, d):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    values = {
+        "mail": text("u", cust, "@mail.org"), "day": F.date_format("o_orderdate", "yyyy-MM-dd"), "site": text("https://x.org/", key), "tel": text("+32 470 12 ", 10 + cust % 90),
+        "code": (10 + cust % 90).cast("string"), "long": (1_000_000 + cust).cast("string"), "mix": F.when(key % 2 == 0, F.col("o_orderpriority")).otherwise("45"),
+    }
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in values.items()])).alias("x")
+    return table(spark, d, "orders").select(pairs).select("x.*")
+
+
+@query(f"""SELECT c."column", f.name AS hint, CASE WHEN o.n = 1 THEN o.only_name END AS pattern FROM (SELECT DISTINCT "column" FROM {_SAMPLES_SQL}) c
+LEFT JOIN ({_FORMAT_TESTS}) f ON c."column" = f."column" AND f.place = (SELECT min(place) FROM ({_FORMAT_TESTS}) g WHERE g."column" = c."column")
+LEFT JOIN (SELECT "column", count(*) AS n, min(name) AS only_name FROM ({_FORMAT_TESTS}) GROUP BY 1) o ON c."column" = o."column" """)
+def format_hint(spark, d):
+    return P.format_hints(_samples(spark, d))
 
 
-@query("""SELECT * FROM (VALUES ('mail', 'email', 'email'), ('day', 'date', 'date'), ('site', 'url', 'url'), ('tel', 'phone', 'phone'), ('code', 'numeric_code', 'numeric_code'), ('mix', NULL, NULL), ('long', 'phone', NULL), ('uid', 'uuid', 'uuid')) t("column", hint, pattern)""")
-def format_hint(spark, d):
-    return P.format_hints(_samples(spark))
+@query(f"""SELECT "column", min(name) AS pattern FROM ({_FORMAT_TESTS}) GROUP BY 1 HAVING count(*) = 1""")
+def format_pattern(spark, d):
+    return P.format_hints(_samples(spark, d)).filter("pattern is not null").select("column", "pattern")
 
 
 @query(f"""SELECT "column", distinct_count, row_count FROM ({_profile_sql('orders', ['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority'])}) WHERE row_count >= 100 AND distinct_count > 1 AND distinct_count <= 50 AND CAST(distinct_count AS DOUBLE) / row_count < 0.1""")
@@ -89,11 +108,15 @@ def enum_candidates(spark, d):
     return o.filter(F.lit(few)).groupBy(F.col("o_orderstatus").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('sales', 'customer_id', 'customers', 'high'), ('sales', 'area_key', 'tblArea', 'high'), ('sales', 'agent_fk', 'people', 'medium')) t("table", "column", target, confidence)""")
+@query("""WITH s AS (SELECT count(DISTINCT o_custkey) AS custs, count(DISTINCT o_orderpriority) AS priorities FROM orders), n AS (SELECT (SELECT count(*) FROM customer) AS custs, (SELECT count(*) FROM region) AS areas)
+SELECT 'sales' AS "table", 'customer_id' AS "column", 'customer' AS target, 'high' AS confidence UNION ALL SELECT 'sales', 'area_key', 'tblArea', 'high'
+UNION ALL SELECT 'sales', 'rank_fk', 'tblArea', 'medium' FROM s, n WHERE s.priorities BETWEEN floor(n.areas * 0.95) AND ceil(n.areas * 1.05)
+UNION ALL SELECT 'sales', 'rank_fk', 'customer', 'medium' FROM s, n WHERE s.priorities BETWEEN floor(n.custs * 0.95) AND ceil(n.custs * 1.05)""")
 def fk_suggest(spark, d):
-    columns = spark.createDataFrame([("sales", "customer_id", 900), ("sales", "area_key", 7), ("sales", "agent_fk", 98), ("sales", "amount", 98)], "`table` string, `column` string, distinct_count long")
-    tables = spark.createDataFrame([("customers", 1000), ("tblArea", 50), ("people", 100), ("sales", 9000)], "`table` string, row_count long")
-    return P.fk_suggestions(columns, tables)
+    sales = table(spark, d, "orders").select(F.col("o_custkey").alias("customer_id"), (F.col("o_custkey") % 5).alias("area_key"), F.col("o_orderpriority").alias("rank_fk"), F.col("o_totalprice").alias("amount"))
+    catalog = readers.introspect({"sales": sales, "customer": table(spark, d, "customer").select("c_name"), "tblArea": table(spark, d, "region").select("r_name")})
+    columns = catalog.filter(F.col("table") == "sales").select("table", "column", "distinct_count")
+    return P.fk_suggestions(columns, catalog.groupBy("table").agg(F.max("row_count").alias("row_count")))
 
 
 @query("""SELECT 'customer' AS left_table, 'c_name' AS left_column, 'supplier' AS right_table, 's_name' AS right_column, 'name' AS name UNION ALL SELECT 'customer', 'c_nationkey', 'supplier', 's_nationkey', 'nationkey' UNION ALL SELECT 'customer', 'c_acctbal', 'supplier', 's_acctbal', 'acctbal'""")
@@ -144,38 +167,37 @@ def pii_columns(spark, d):
     return spark.createDataFrame([(n, k) for n in names if (k := K.pii_name_kind(n))], "`column` string, kind string")
 
 
-_PII_ROWS = [
-    (1, "write to jan@example.org now", "email"), (2, "BE68539007547034", "iban"), (3, "123456789012", "identifier"), (4, "call +32 470 12 34 56 today", "phone"), (5, "2026-07-29 14:19:00", None),
-    (6, "1234567.89", None), (7, "plain words", None), (8, "", None), (9, None, None), (10, "06123456", "phone"), (11, "12345678", None), (12, "Occurs on 2026-07-18", None),
-]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {repr(k) if k else 'NULL'})" for i, _, k in _PII_ROWS) + ") t(id, kind)")
+@query()
 def pii_values(spark, d):
-    rows = spark.createDataFrame([(i, v) for i, v, _ in _PII_ROWS], "id int, value string")
-    return rows.select("id", K.pii_value_kind(F.col("value")).alias("kind"))
+    """What each document holds; its SQL would need look-behind, so tests hold it against plain Python."""
+    return table(spark, d, "documents").select("doc_id", K.pii_value_kind(F.col("text")).alias("kind"))
 
 
-@query("SELECT * FROM (VALUES (1, 'location'), (2, NULL), (3, NULL), (4, 'location'), (5, NULL)) t(id, kind)")
+@query("""WITH s AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN CAST(CAST(s_acctbal / 50 AS DECIMAL(18,2)) AS VARCHAR) WHEN 1 THEN CAST(s_nationkey AS VARCHAR) WHEN 2 THEN '51.33, ' || s_nationkey || '.25' ELSE s_name END AS v FROM supplier)
+SELECT s_suppkey, CASE WHEN regexp_matches(v, '^[+-]?\\d+\\.\\d+$') AND TRY_CAST(v AS DOUBLE) BETWEEN -90 AND 90 THEN 'location'
+ WHEN regexp_matches(v, '^51[.]33, [0-9]+[.]25$') THEN 'location' END AS kind FROM s""")
 def pii_location(spark, d):
-    rows = spark.createDataFrame([(1, "51.33"), (2, "51"), (3, "95.5"), (4, "51.33, 4.12"), (5, "x")], "id int, latitude string")
-    return rows.select("id", K.location_kind("site_latitude", F.col("latitude")).alias("kind"))
+    k = F.col("s_suppkey") % 4
+    v = F.when(k == 0, (F.col("s_acctbal") / 50).cast("decimal(18,2)").cast("string")).when(k == 1, F.col("s_nationkey").cast("string")).when(k == 2, F.concat(F.lit("51.33, "), F.col("s_nationkey").cast("string"), F.lit(".25"))).otherwise(F.col("s_name"))
+    return table(spark, d, "supplier").select("s_suppkey", K.location_kind("site_latitude", v).alias("kind"))
 
 
-@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{2,}') THEN '<redacted kind=email source=documents.text datatype=string>' ELSE 'kept' END AS cell FROM documents
-WHERE regexp_matches(text, '[A-Za-z0-9]@mail[0-9].example.com') OR length(text) - length(replace(text, '@', '')) = 0""")
+@query()
 def redact_rows(spark, d):
-    docs = table(spark, d, "documents")
-    docs = docs.filter(F.col("text").rlike("[A-Za-z0-9]@mail[0-9].example.com") | ~F.col("text").contains("@"))
-    kind = F.when(K.pii_value_kind(F.col("text")) == "email", "email")
-    cell = K.redacted(F.col("text"), kind, "documents", "text", "string")
-    return docs.select("doc_id", F.when(cell.startswith("<redacted"), cell).otherwise("kept").alias("cell"))
+    """Every document's text with its kind of personal data; its SQL would need look-behind, so tests hold it against plain Python."""
+    kind = K.pii_value_kind(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", kind.alias("kind"), K.redacted(F.col("text"), kind, "documents", "text", "string").alias("cell"))
 
 
-@query("SELECT * FROM (VALUES (1, 'ja***@***.org'), (2, '**************34'), (3, '**********12'), (4, 's***'), (5, '')) t(id, masked)")
+@query("""WITH v AS (SELECT c_custkey, trim(CASE c_custkey % 5 WHEN 0 THEN 'u' || c_custkey || '@mail.org' WHEN 1 THEN CAST(100000000 + c_custkey AS VARCHAR) WHEN 2 THEN '+32 470 ' || (10 + c_custkey % 90) || ' 11' WHEN 3 THEN ' ' ELSE c_name END) AS t FROM customer)
+SELECT c_custkey, CASE WHEN t = '' THEN t WHEN c_custkey % 5 = 0 THEN left('u' || c_custkey, 2) || '***@***.org' WHEN c_custkey % 5 IN (1, 2) THEN repeat('*', greatest(length(t) - 2, 1)) || right(t, 2) ELSE left(t, 1) || '***' END AS masked FROM v""")
 def mask_values(spark, d):
-    rows = spark.createDataFrame([(1, "jan@example.org"), (2, "BE68539007547034"), (3, "123456789012"), (4, "secret"), (5, " ")], "id int, v string")
-    return rows.select("id", K.masked(F.col("v")).alias("masked"))
+    k, c = F.col("c_custkey") % 5, F.col("c_custkey")
+    v = (
+        F.when(k == 0, F.concat(F.lit("u"), c.cast("string"), F.lit("@mail.org"))).when(k == 1, (100_000_000 + c).cast("string"))
+        .when(k == 2, F.concat(F.lit("+32 470 "), (10 + c % 90).cast("string"), F.lit(" 11"))).when(k == 3, F.lit(" ")).otherwise(F.col("c_name"))
+    )
+    return table(spark, d, "customer").select("c_custkey", K.masked(v).alias("masked"))
 
 
 def _used(spark):
@@ -196,27 +218,41 @@ def coverage_orphans(spark, d):
     return P.uncovered(_catalog(spark, d), _used(spark)).select("table", "column")
 
 
-@query("""SELECT 'tenant' AS "column", 2 AS tables""")
+@query("""WITH b AS (SELECT (SELECT count(DISTINCT c_nationkey) FROM customer) AS a, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS b)
+SELECT 'tenant' AS "column", 2 AS tables UNION ALL SELECT 'batch', 2 FROM b WHERE a <= 1 AND b <= 1""")
 def technical_columns(spark, d):
-    rows = [("a", "tenant", 1), ("b", "tenant", 1), ("a", "batch", 1), ("b", "batch", 9), ("a", "name", 1), ("b", "name", 1)]
-    return P.technical_columns(spark.createDataFrame(rows, "`table` string, `column` string, distinct_count long"), ["tenant", "batch"])
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    marked = lambda df, key: df.select("*", F.lit("t1").alias("tenant"), F.col(key).alias("batch"))
+    return P.technical_columns(readers.introspect({"customer": marked(c, "c_nationkey"), "supplier": marked(s, "s_nationkey")}).select("table", "column", "distinct_count"), ["tenant", "batch"])
 
 
-@query("SELECT 3 AS tables, 2 AS sampled, CAST(0.6667 AS DECIMAL(18,4)) AS ratio")
+@query("""WITH t AS (SELECT count(DISTINCT c_mktsegment) BETWEEN 2 AND 50 AS a FROM customer), u AS (SELECT count(DISTINCT r_name) BETWEEN 2 AND 50 AS a FROM region), w AS (SELECT count(DISTINCT o_orderkey) BETWEEN 2 AND 50 AS a FROM orders),
+x AS (SELECT * FROM t UNION ALL SELECT * FROM u UNION ALL SELECT * FROM w)
+SELECT count(*) AS tables, CAST(sum(CAST(a AS INTEGER)) AS BIGINT) AS sampled, CAST(sum(CAST(a AS INTEGER)) / count(*) AS DECIMAL(18,4)) AS ratio FROM x""")
 def sample_coverage(spark, d):
-    return P.sample_coverage(spark.createDataFrame([("a", 0), ("a", 3), ("b", 1), ("c", 0)], "`table` string, samples int"))
+    kept = readers.introspect({"customer": table(spark, d, "customer").select("c_mktsegment"), "region": table(spark, d, "region").select("r_name"), "orders": table(spark, d, "orders").select("o_orderkey")})
+    return P.sample_coverage(kept.select("table", F.when(F.col("distinct_count").between(2, 50), F.col("distinct_count")).otherwise(0).alias("samples")))
+
+
+_SHAPED = """SELECT '{p}' AS property, '{s}' AS source, shape FROM (SELECT {shape} AS shape, min(k) AS seen, count(*) AS n FROM (SELECT trim(CAST({c} AS VARCHAR)) AS t, {k} AS k FROM {r}) WHERE t IS NOT NULL GROUP BY 1 ORDER BY n DESC, seen LIMIT 1)"""
+_SHAPE_SOURCES = (("nation", "crm", "customer", "c_nationkey", "c_custkey"), ("nation", "erp", "nation", "n_name", "n_nationkey"), ("name", "crm", "customer", "c_name", "c_custkey"), ("name", "erp", "supplier", "s_name", "s_suppkey"))
 
 
-@query("SELECT 'phone' AS property, 2 AS shapes")
+@query("SELECT property, count(DISTINCT shape) AS shapes FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_SHAPED.format(p=p, s=s, r=r, c=c, k=k, shape=_SHAPE)})" for p, s, r, c, k in _SHAPE_SOURCES) + ") GROUP BY 1 HAVING count(DISTINCT shape) > 1")
 def audit_shapes(spark, d):
-    return P.shape_conflicts(spark.createDataFrame([("phone", "crm", "numeric"), ("phone", "erp", "text"), ("name", "crm", "text"), ("name", "erp", "text")], "property string, source string, shape string"))
+    parts = [P.dominant_shape(table(spark, d, r), c, k).select(F.lit(p).alias("property"), F.lit(s).alias("source"), "shape") for p, s, r, c, k in _SHAPE_SOURCES]
+    return P.shape_conflicts(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
-@query("""SELECT 'big' AS "table", 5000 AS row_count""")
+@query("""SELECT * FROM (SELECT 'lineitem' AS "table", count(*) AS row_count FROM lineitem UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'region', count(*) FROM region) WHERE row_count > 100""")
 def disposition_gaps(spark, d):
-    tables = spark.createDataFrame([("big", 5000), ("bound", 9000), ("done", 7000), ("small", 3)], "`table` string, row_count int")
+    names = ("lineitem", "orders", "customer", "part", "region")
+    counted = [table(spark, d, n).agg(F.lit(n).alias("table"), F.count("*").alias("row_count")) for n in names]
+    tables = counted[0]
+    for more in counted[1:]:
+        tables = tables.unionByName(more)
     one = lambda n: spark.createDataFrame([(n,)], "`table` string")
-    return P.disposition_gaps(tables, one("bound"), one("done"), 100)
+    return P.disposition_gaps(tables, one("orders"), one("customer"), 100)
 
 
 @query("""SELECT 'Person' AS class, 'firstName' AS property, 'string' AS range""")
@@ -230,8 +266,8 @@ def entity_splitout(spark, d):
     return P.split_out(table(spark, d, "customer"), {"c_nationkey": "country", "c_mktsegment": "segment"})
 
 
-@query("SELECT * FROM (VALUES ('a', 'name'), ('a', 'b_city')) t(left_table, left_column)")
+@query("SELECT 'customer' AS left_table, 'c_name' AS left_column UNION ALL SELECT 'customer', 'c_nationkey'")
 def name_match(spark, d):
-    a = spark.createDataFrame([("a", "name"), ("a", "b_city"), ("a", "zip")], "`table` string, `column` string")
-    b = spark.createDataFrame([("t", "Name"), ("t", "city")], "`table` string, `column` string")
+    a = readers.introspect({"customer": table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")})
+    b = readers.introspect({"nation": table(spark, d, "nation").select(F.col("n_name").alias("Name"), F.col("n_nationkey").alias("NationKey"))})
     return P.name_matches(a, b).select("left_table", "left_column")

@@ -131,7 +131,8 @@ def dq_gate(spark, d):
 
 @query("SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NULL")
 def chk_not_null(spark, d):
-    return table(spark, d, "customer").filter(F.nullif("c_mktsegment", F.lit("BUILDING")).isNull()).select("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    return Q.is_null(rows, ["segment"]).select("c_custkey")
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
@@ -142,7 +143,7 @@ def chk_unique(spark, d):
 @query("SELECT count(*) AS expected, count(*) FILTER (WHERE c_custkey % 7 <> 0) AS found FROM customer")
 def chk_rowcount(spark, d):
     c = table(spark, d, "customer")
-    return c.agg(F.count("*").alias("expected"), F.count_if(F.col("c_custkey") % 7 != 0).alias("found"))
+    return Q.row_counts(c, c.filter("c_custkey % 7 <> 0"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1, 2 HAVING count(*) > 1")

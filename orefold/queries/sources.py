@@ -125,6 +125,53 @@ def fk_unknown_member(spark, d):
     return good.select("o_orderkey", "sk")
 
 
+_PARENTS = """p AS (SELECT c_custkey, 'a' || c_custkey AS sk FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey, 'b' || c_custkey FROM customer WHERE c_custkey % 25 = 1)"""
+
+
+@query(f"""WITH {_PARENTS} SELECT o_orderkey, min(sk) AS sk, count(sk) AS matches FROM orders LEFT JOIN p ON o_custkey = c_custkey GROUP BY o_orderkey""")
+def fk_first(spark, d):
+    c = table(spark, d, "customer").select("c_custkey")
+    sk = lambda p: F.concat(F.lit(p), F.col("c_custkey").cast("string")).alias("sk")
+    parents = c.filter("c_custkey % 10 <> 0").select("c_custkey", sk("a")).union(c.filter("c_custkey % 25 = 1").select("c_custkey", sk("b")))
+    child = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return lookup.counted_lookup(child, parents, [("o_custkey", "c_custkey")], {"sk": "sk"}, "matches").select("o_orderkey", "sk", "matches")
+
+
+_PRICES = """v AS (SELECT p_partkey, p_size, TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey % 900 AS INTEGER)) AS valid_from, CASE WHEN p_partkey % 3 = 0 THEN TIMESTAMP '9999-12-31' ELSE TIMESTAMP '1996-06-01' + to_days(CAST(p_partkey % 300 AS INTEGER)) END AS valid_to, 'v' || p_partkey AS version FROM part WHERE p_partkey % 11 <> 0
+ UNION ALL SELECT p_partkey, p_size, TIMESTAMP '1996-01-01', TIMESTAMP '9999-12-31', 'w' || p_partkey FROM part WHERE p_partkey % 4 = 0),
+l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, CAST(l_shipdate AS TIMESTAMP) AS shipped FROM lineitem)"""
+
+
+def price_versions(spark, d):
+    part = table(spark, d, "part")
+    day = lambda s: F.lit(s).cast("timestamp")
+    plus = lambda s, n: F.timestamp_add("DAY", F.pmod("p_partkey", F.lit(n)).cast("int"), day(s))
+    key = F.col("p_partkey")
+    version = lambda p: F.concat(F.lit(p), key.cast("string")).alias("version")
+    a = part.filter(key % 11 != 0).select("p_partkey", plus("1995-01-01", 900).alias("valid_from"), F.when(key % 3 == 0, day("9999-12-31")).otherwise(plus("1996-06-01", 300)).alias("valid_to"), version("v"))
+    b = part.filter(key % 4 == 0).select("p_partkey", day("1996-01-01").alias("valid_from"), day("9999-12-31").alias("valid_to"), version("w"))
+    return a.union(b)
+
+
+def priced(spark, d):
+    lines = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("line"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("timestamp").alias("at"))
+    return lookup.lookup(lines, price_versions(spark, d), [("l_partkey", "p_partkey")], {"version": "version", "valid_from": "since"}, as_of=("at", "valid_from", "valid_to"), open_end="max-value")
+
+
+@query(f"""WITH {_PRICES} SELECT l_orderkey, l_linenumber, l_partkey, version FROM (SELECT l.rowid_, l_orderkey, l_linenumber, l_partkey, version, valid_from, max(valid_from) OVER (PARTITION BY l.rowid_) AS best
+ FROM (SELECT row_number() OVER () AS rowid_, * FROM l) l LEFT JOIN v ON l_partkey = p_partkey AND shipped >= valid_from AND shipped < valid_to) WHERE best IS NULL OR valid_from = best""")
+def fk_latest_start(spark, d):
+    return lookup.latest_start(priced(spark, d), ["line"], "since").select("l_orderkey", "l_linenumber", "l_partkey", "version")
+
+
+@query(f"""WITH {_PRICES} SELECT l_orderkey, l_linenumber, l_partkey, 'deferred' AS route FROM l WHERE EXISTS (SELECT 1 FROM v WHERE l_partkey = p_partkey)
+ AND NOT EXISTS (SELECT 1 FROM v WHERE l_partkey = p_partkey AND shipped >= valid_from AND shipped < valid_to)""")
+def fk_late_defer(spark, d):
+    marked = lookup.late(priced(spark, d), price_versions(spark, d), [("l_partkey", "p_partkey")], "version", "late")
+    _, deferred, _ = lookup.route_late(marked, "late", "version", "defer")
+    return deferred.select("l_orderkey", "l_linenumber", "l_partkey", F.lit("deferred").alias("route"))
+
+
 @query("""SELECT n.n_nationkey, s.sk FROM nation n LEFT JOIN (SELECT s_nationkey, md5(CAST(s_suppkey AS VARCHAR)) AS sk FROM supplier) s ON n.n_nationkey = s.s_nationkey""")
 def fk_reverse(spark, d):
     child = table(spark, d, "supplier").select("s_nationkey", H.surrogate_key(F.col("s_suppkey")).alias("sk"))

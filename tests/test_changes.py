@@ -95,3 +95,18 @@ def test_policies():
         cdc.backfill(None, "2024-01-01", "2024-01-02", False)
     with pytest.raises(ValueError):
         cdc.normalize_operation(None, {"insert": ["a"], "update": ["a"]})
+
+
+def test_merge_with_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    more = spark.createDataFrame([(None, 5)], "k int, v int")
+    once = cdc.merge(rows, more, ["k"])
+    assert sorted((r.k or 0, r.v) for r in cdc.merge(once, more, ["k"]).collect()) == [(0, 5), (2, 2)]
+
+
+def test_rebuild_needs_permission(spark):
+    rows = spark.createDataFrame([(1, 1)], "k int, v int")
+    with pytest.raises(PermissionError):
+        cdc.rebuild(rows, rows, ["k"], True, False)
+    assert cdc.rebuild(rows, rows.limit(0), ["k"], True, True).isEmpty()
+    assert cdc.rebuild(rows, rows.limit(0), ["k"], False, False).count() == 1

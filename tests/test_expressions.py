@@ -77,6 +77,32 @@ def test_hash_bytes(spark):
         hashing.source_record_key("t")
 
 
+#: Name, SQL of the value, kind, and the field's canonical bytes.
+GOLDEN = (
+    ("null-string", "CAST(NULL AS STRING)", Kind("string"), "string:N:0:;"),
+    ("empty-string", "''", Kind("string"), "string:V:0:;"),
+    ("unicode", "'Caf\u00e9 \U0001f642'", Kind("string"), "string:V:10:436166c3a920f09f9982;"),
+    ("decimal", "CAST(123.4 AS DECIMAL(18,4))", Kind("decimal"), "decimal(18,4):V:8:3132332e34303030;"),
+    ("date", "DATE '2026-07-25'", Kind("date"), "date:V:10:323032362d30372d3235;"),
+    ("time", "'17:35:33.752000'", Kind("time"), "time:V:15:31373a33353a33332e373532303030;"),
+    ("timestamp", "TIMESTAMP '2026-07-25 17:35:33.752'", Kind("timestamp"), "timestamp:V:27:323032362d30372d32355431373a33353a33332e3735323030305a;"),
+    ("binary", "X'00FF10'", Kind("binary"), "binary:V:6:303066663130;"),
+    ("unicode-gt8k-bytes", "repeat('\u00e9', 5000)", Kind("string"), "string:V:10000:" + "c3a9" * 5000 + ";"),
+    ("binary-gt8k-bytes", "unhex(repeat('" + bytes(range(256)).hex() + "', 36))", Kind("binary"), "binary:V:18432:" + (bytes(range(256)) * 36).hex().encode().hex() + ";"),
+)
+
+
+@pytest.mark.parametrize("name, sql, kind, body", GOLDEN, ids=[g[0] for g in GOLDEN])
+def test_golden_fields(spark, name, sql, kind, body):
+    row = spark.sql(f"SELECT {sql} AS v").select(hashing.canonical_field(F.col("v"), kind).alias("body"), hashing.canonical_hash([(F.col("v"), kind)], "H|v1|").alias("hash")).first()
+    assert row.body == body and row.hash == hashlib.sha256(f"H|v1|{body}".encode()).hexdigest()
+
+
+def test_source_types():
+    assert of_source("decimal(10)") == Kind("decimal", 10, 4) and of_source("numeric(9, 0)") == Kind("decimal", 9, 0)
+    assert [of_source(t).name for t in ("uniqueidentifier", "xml", "ntext", "image")] == ["string", "string", "string", "binary"]
+
+
 def test_values_of_personal_data(spark):
     rows = [("2026-07-29", None), ("0470-12-34", "phone"), ("  ", None), ("<redacted kind=email source=a.b datatype=c>", None), ("x 123456789", "identifier"), ("12.5", None)]
     df = spark.createDataFrame(rows, "v string, want string").withColumn("got", text_kinds.pii_value_kind(F.col("v")))
