@@ -32,7 +32,7 @@ HALF_WORD = 0.5
 #: Steps of the dual; a bracket of doubles closes in fewer, so more than these are an error.
 MOST_STEPS = 200
 #: Rows of one hash bucket of a group, about.
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 12
 
 
 def words(text: Column) -> Column:

@@ -68,7 +68,7 @@ def _dealt(df: DataFrame, key: str, shards: int, seed: int, bucket_rows: int, bu
     before = Window.partitionBy("shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted(placed).select("shard", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
     grouped = placed.withColumn("__group", F.floor(F.col("__sub") / GROUP)).drop("__hash")
-    tasks = max(16, -(-shards * per_shard // GROUP))
+    tasks = max(32, 2 * -(-shards * per_shard // GROUP))
     scattered = grouped.repartition(tasks, "shard", "__group").groupBy("shard", "__group", "__sub").agg(F.collect_list("__rec").alias("__recs"))
     # Spark's shuffle draws on from bucket to bucket of a task: a fixed order of both makes it the same on every run
     ordered = F.array_sort("__recs", _compare) if len(hashed) < len(df.columns) else F.array_sort("__recs")

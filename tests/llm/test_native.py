@@ -93,6 +93,59 @@ def test_mix(spark, seed):
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
 
 
+def sizes_of(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select("source", mixing.words(F.col("text")).alias("size"))
+    return rows.groupBy("source", "size").agg(F.count("*").alias("n"))
+
+
+@pytest.mark.parametrize("share", [0.01, 0.3, 1.0, 1.5, 1.99])
+def test_dual_meets_targets(spark, sf_dir, share):
+    """Before rounding every source is within half a word of its target, whatever share is asked."""
+    sizes = sizes_of(spark, sf_dir).cache()
+    targets = mixing.source_targets(sizes, share=share)
+    rates = mixing.tilts(sizes, targets).collect()
+    got = Counter()
+    for r in rates:
+        assert 0 <= r.rate <= 2
+        got[r.source] += r["size"] * r.n * r.rate
+    assert all(abs(got[t.source] - t.target) < 0.6 for t in targets.collect())
+
+
+def test_dual_of_odd_sources(spark):
+    """One size only, sizes far apart, one huge group, a target met by the first step, null as a source."""
+    rows = [("one", 7, 1000), ("far", 1, 10), ("far", 100_000, 2), ("hot", 3, 10**9), ("hot", 4, 1), ("even", 10, 4), (None, 5, 3), ("none", 0, 9)]
+    sizes = spark.createDataFrame(rows, "source string, size long, n long")
+    goal = {"one": 1234.5, "far": 150_003.25, "hot": 1.0, "even": 40.0, None: 29.0, "none": 0.0}
+    whole = Counter()
+    for s, size, n in rows:
+        whole[s] += size * n
+    targets = spark.createDataFrame([(s, whole[s], t) for s, t in goal.items()], "source string, source_size long, target double")
+    got = Counter()
+    for r in mixing.tilts(sizes, targets).collect():
+        got[r.source] += r["size"] * r.n * r.rate
+    assert all(abs(got[s] - t) < 0.6 for s, t in goal.items())
+    taken = Counter()
+    for r in mixing.whole_copies(mixing.tilts(sizes, targets), targets).collect():
+        assert 0 <= r.copies <= 2 * r.n
+        taken[r.source] += r["size"] * r.copies
+    assert all(abs(taken[s] - t) <= 4 for s, t in goal.items())
+
+
+def test_mix_is_the_same_on_other_partitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one, *others = ({tuple(r) for r in mixing.mix_digest(docs.repartition(n)).collect()} for n in (1, 4, 50))
+    assert all(o == one for o in others)
+
+
+def test_mix_repeated_rows_long_texts_and_clashing_columns(spark):
+    rows = [(None, "a b c", "s", 9)] * 40 + [(1, "w " * 50_000, "s", 9), (1, "w " * 50_000, "s", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int").withColumn("copies", F.lit("x"))
+    got = mixing.mix_digest(df).collect()
+    assert len(got) == 42 and {r.source_size for r in got} == {100_120}
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 3 and all(r.taken <= 2 * r["size"] for r in got)
+
+
 def test_mix_edges(spark):
     df = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [(r.taken, r.target) for r in mixing.mix_digest(df).collect()] == [(0, 0.0), (0, 0.0)]
