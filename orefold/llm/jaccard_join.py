@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import save
+from .scratch import free, save
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -228,6 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = save(new, "labels")
         moved = new.join(labels.select("node", F.col("label").alias("was")), "node").filter("label <> was").limit(1)
         done = moved.isEmpty()
+        free(labels)
         labels = new
         if done:
             return labels
@@ -282,6 +283,7 @@ def near_duplicates(
         full.select("set", "path", "chunk", "a", "b", "paths", "shingles", "copies").mapInArrow(_links(threshold), "set long, root long, links long"),
         "near-links",
     )
+    free(needed)
     label = components(links.select(F.col("set").alias("node"), "root"))
     counts = links.groupBy("set").agg(F.sum("links").alias("links"))
     grouped = (

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import save
+from .scratch import free, save
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -116,13 +116,14 @@ def tilts(sizes: DataFrame, targets: DataFrame, most: int = MOST, steps: int = M
         moved = F.when(inside, to).when(lo.isNull() | hi.isNull(), further).otherwise(middle)
         closed = ~inside & lo.isNotNull() & hi.isNotNull() & ((middle <= lo) | (middle >= hi))
         done = F.col("done") | (F.abs(gap) < HALF_WORD) | closed
-        state = save(
+        old, state = state, save(
             asked.select(
                 "source", "source_size", "target", "mean", F.when(F.col("g").isNull() | done, lam).otherwise(moved).alias("lam"), "lo", "hi",
                 F.coalesce(done, F.lit(False)).alias("done"),
             ),
             "mix-dual",
         )
+        free(old)
     else:
         raise RuntimeError(f"the dual did not converge in {steps} steps")
     return _with(found, state, "mean", "lam", "target", "source_size").select(
@@ -151,6 +152,7 @@ def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: i
     groups = save(running.select("source", "size", "n", copies.alias("copies")), "mix-copies")
     goal = F.round("target").cast("long")
     while True:
+        held = groups
         got = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
         gaps = _with(targets.select("source", goal.alias("goal")), got, "got").select("source", (F.col("goal") - F.col("got")).alias("gap"))
         room = F.when(F.col("gap") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
@@ -173,7 +175,8 @@ def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: i
         groups = groups.join(keyed, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("at")), "left").select(
             "source", "size", "n", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies")
         )
-        groups = save(groups, "mix-copies")
+        old, groups = held, save(groups, "mix-copies")
+        free(old, steps)
 
 
 def mix(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import save
+from .scratch import free, save
 
 PAGE = 256
 FAN = 16
@@ -366,6 +366,7 @@ def top_k(
         .applyInPandas(_grown(top, width), "part long, centre binary, radius double, body binary"),
         "mtree-index",
     )
+    free(placed)
     home = F.when(F.element_at(F.lit(many).cast("array<long>"), F.col("cell") + 1) > 0, F.element_at(F.lit(first).cast("array<long>"), F.col("cell") + 1)).otherwise(-1)
     q_first, q_many = _dealt(posed, block_rows, cells)
     boxes = save(
@@ -373,6 +374,7 @@ def top_k(
         .applyInPandas(_boxed(width), "block long, home long, q_ids binary, body binary"),
         "mtree-boxes",
     )
+    free(posed)
     groups = F.lit(max(1, -(-sum(q_many) // GROUP)))
     hits = "block long, q long, query_id long, vec_id long, score long"
     floors = "array<struct<q:bigint,floor:bigint>>"
@@ -391,6 +393,7 @@ def top_k(
     known = near.groupBy("block", "q").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == k)
     held = known.groupBy("block").agg(F.collect_list(F.struct("q", "floor")).alias("floors"))  # at most block_rows each
     armed = save(boxes.join(held, "block", "left"), "mtree-armed")
+    free(boxes)
     if shards * (width + 3) * 8 <= route_bytes:
         table = index.select("part", "centre", "radius").collect()
         route = _routes(np.array([_unpacked(r["centre"]) for r in table]), np.array([r["radius"] for r in table]), np.array([r["part"] for r in table]), top)

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Where it is unset (tests, notebooks on one
-machine) a temporary folder is made and set. Tables are removed when the application ends.
+The folder is ``spark.checkpoint.dir`` of the session. Where it is unset on one machine (tests, notebooks)
+a temporary folder is made and set; on a cluster that is an error. Tables are removed by ``free`` once what reads
+them is written, the others when the application ends.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -16,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_SAVED: list[tuple[DataFrame, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's setting, else the context's, else a new temporary one."""
+    """The shared folder: the session's setting, else the context's, else on one machine a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that they share")
         found = tempfile.mkdtemp(prefix="orefold-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -42,7 +47,29 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     release()
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _SAVED.append((out, path))
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove saved tables whose every reader has been written. Tables of other making are left alone."""
+    for table in tables:
+        for k, (df, path) in enumerate(_SAVED):
+            if df is table:
+                del _SAVED[k]
+                _remove(df.sparkSession, path)
+                break
+
+
+def saved() -> int:
+    """How many saved tables there are, for ``free_since``."""
+    return len(_SAVED)
+
+
+def free_since(count: int, *kept: DataFrame) -> None:
+    """Remove the tables saved after the first ``count``, but for those that are kept."""
+    free(*[df for df, _ in _SAVED[count:] if not any(df is k for k in kept)])
 
 
 def release() -> None:
@@ -54,11 +81,14 @@ def release() -> None:
         trim(0)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _clear() -> None:
     for spark, path in _MADE:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(spark, path)
         except Exception:  # the application may have ended already
             return

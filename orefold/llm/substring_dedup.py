@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import save
+from .scratch import free, save
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -47,42 +47,47 @@ _LAST = (1 << 63) - 1
 _HIGH = np.uint64(40)
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, spans: tk.Spans | None = None) -> tuple[np.ndarray, ...]:
     """For each run of windows with one anchor: the anchor's hash, the first and last start, the document, the anchor's place."""
     if len(offsets) == 2 and len(raw) > PIECE_BYTES + length:
         pieces = []
         for s in range(0, len(raw) - length + 1, PIECE_BYTES):
             piece = raw[s : s + PIECE_BYTES + length - 1]
-            hashes, a, b, owner, at = _anchors(piece, np.array([0, len(piece)]), length, gram)
+            hashes, a, b, owner, at = _anchors(piece, np.array([0, len(piece)]), length, gram, tk.Spans(piece))
             pieces.append((hashes, a + s, b + s, owner, at + s))
         return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
-    return _anchors(raw, offsets, length, gram)
+    return _anchors(raw, offsets, length, gram, spans or tk.Spans(raw))
 
 
-def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def _anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, spans: tk.Spans) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets) - length + 1
     n, wide = len(raw), length - gram + 1
     if n < length or not (sizes > 0).any():
         return none.astype(np.uint64), none, none, none, none
-    starts = np.arange(n - gram + 1)
-    grams = tk.hash_spans(raw, starts, starts + gram)
-    low = (grams & np.uint64(_LAST ^ 0xFFFFFFF)) | starts.astype(np.uint64)
+    grams = spans.runs(gram)
+    low = grams & np.uint64(_LAST ^ 0xFFFFFFF)
+    low |= np.arange(len(low), dtype=np.uint64)
     span = 1
     while span * 2 <= wide:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if wide > span:
         low = np.minimum(low[: len(low) - (wide - span)], low[wide - span :])
-    owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes, 0))
-    width = np.maximum(sizes, 0)
-    window = np.repeat(offsets[:-1] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-    at = (low[window] & np.uint64(0xFFFFFFF)).astype(np.int64)
+    at = (low & np.uint64(0xFFFFFFF)).astype(np.int64)  # the anchor of the window at each place
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])
+    new[1:] = at[1:] != at[:-1]
+    for s in offsets[1:-1].tolist():  # windows that reach into the next document are none
+        new[max(0, s - length + 1) : s] = False
+        if s < len(new):
+            new[s] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return grams[at[first]], window[first], window[last], owner[first], at[first]
+    owner = np.searchsorted(offsets, first, "right") - 1
+    room = offsets[owner + 1] - length
+    keep = first <= room
+    last = np.minimum(np.append(first[1:], len(at)) - 1, room)
+    first, last, owner = first[keep], last[keep], owner[keep]
+    return grams[at[first]], first, last, owner, at[first]
 
 
 def halves(a: np.ndarray, b: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -130,10 +135,10 @@ def _long(short: np.ndarray) -> np.ndarray:
 
 def _described(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchors as items with the hashes of their segments and halves, their full hashes, and their documents."""
-    hashes, a, b, owner, at = anchors(raw, offsets, length, gram)
+    spans = tk.Spans(raw)
+    hashes, a, b, owner, at = anchors(raw, offsets, length, gram, spans)
     items = np.zeros(len(hashes), _ANCHOR)
     if len(hashes):
-        spans = tk.Spans(raw)
         items["low"], items["body"], items["more"] = _short(hashes, 5), spans(a, b + length), _short(tk.Spans(raw, tk.OTHER)(a, b + length), 3)
         items["ord"] = ordinals(owner, len(offsets) - 1)
         for name, (_, _, s, e, some) in zip(("left", "right"), halves(a, b, at, length, gram), strict=True):
@@ -206,9 +211,13 @@ def _meeting(tile: int):
 
     def met(held: list[tuple]) -> pa.RecordBatch:
         docs, items = (np.concatenate(x) for x in zip(*held, strict=True))
+        # items by rank, then stably by the hash of their segments, which has the anchor in it
         rank, tid = np.repeat(docs["rank"], docs["n"]), np.repeat(docs["tid"], docs["n"])
-        low = _long(items["low"])
-        by, start = _least_of((low, items["body"], _long(items["more"])), rank)
+        by = np.argsort(rank, kind="stable")
+        by = by[np.argsort(items["body"][by], kind="stable")]
+        low, body, more = _long(items["low"]), items["body"][by], items["more"][by]
+        start = np.ones(len(by), bool)
+        start[1:] = (body[1:] != body[:-1]) | (more[1:] != more[:-1]).any(axis=1)
         group = np.cumsum(start) - 1
         whole = rank[by] > rank[by][start][group]
         one = by[start]
@@ -266,7 +275,7 @@ def _stage(n: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in _STAGE], schema=_STAGE)
 
 
-def _segments(shards: int, length: int, gram: int):
+def _segments(length: int, gram: int):
     """Copies, halves of segments to compare, and texts with the spans known so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +288,8 @@ def _segments(shards: int, length: int, gram: int):
                 at = np.flatnonzero(copies)
                 if len(at):
                     yield _stage(len(at), kind=pa.array(np.full(len(at), _COPY, np.int32)), doc_id=ids.take(pa.array(at)), rank=pa.array(rank[at]), tid=pa.array(tid[at]), start=pa.array(sizes[at]))
-                hashes, a, b, owner, spot = anchors(raw, offsets, length, gram)
+                spans = tk.Spans(raw)
+                hashes, a, b, owner, spot = anchors(raw, offsets, length, gram, spans)
                 found = part.column("found").filter(pa.array(~copies))
                 many = pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy()
                 place = found.flatten().to_numpy()
@@ -289,14 +299,13 @@ def _segments(shards: int, length: int, gram: int):
                 gone = np.zeros(len(hashes), bool)
                 gone[which[whole]] = True
                 if len(hashes):
-                    spans = tk.Spans(raw)
                     for bit, shift, (s, e, low, high, _) in zip((_LEFT, _RIGHT), (_LEFT_TILE, _RIGHT_TILE), halves(a, b, spot, length, gram), strict=True):
                         pick = (place & bit > 0) & ~gone[which]
                         g, tiles = which[pick], (place[pick] >> shift) & 0xFFF
                         if len(g):
-                            shard = (spans(low[g], high[g]) + np.uint64(bit)) % np.uint64(shards)
+                            shard = spans(low[g], high[g]) + np.uint64(bit)
                             yield _stage(
-                                len(g), kind=pa.array(np.full(len(g), _HALF, np.int32)), rank=pa.array(rank[doc[pick]]), tid=pa.array(tid[doc[pick]]), shard=pa.array(shard.astype(np.int64)),
+                                len(g), kind=pa.array(np.full(len(g), _HALF, np.int32)), rank=pa.array(rank[doc[pick]]), tid=pa.array(tid[doc[pick]]), shard=pa.array(shard.view(np.int64)),
                                 tile=pa.array(tiles.astype(np.int32)), start=pa.array(s[g] - offsets[doc[pick]]), body=_binaries(raw, s[g], e[g] + length),
                             )
                 rest = np.flatnonzero(~copies)
@@ -340,35 +349,76 @@ def _sorted_shards(part_bytes: int, length: int):
 
     def solve(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        text, off = tk.texts_of(table.column("body").combine_chunks().cast(pa.large_binary()))
         ranks, tids, starts = (table.column(c).to_numpy() for c in ("rank", "tid", "start"))
-        of, first, last, lead, at = repeated(text, np.diff(off), ranks, length)
-        begin = starts[of] + first
-        none = np.zeros(len(of), np.int64)
-        columns = np.zeros(len(of), np.int32), ranks[of], tids[of], begin, begin + last - first + length, none, none
+        # equal halves are sorted once, under their least rank; those of a larger rank go whole
+        known = table.column("body").combine_chunks().dictionary_encode()
+        code, n = known.indices.to_numpy().astype(np.int64), len(known.dictionary)
+        least = np.full(n, _LAST, np.int64)
+        np.minimum.at(least, code, ranks)
+        size = pa.compute.binary_length(known.dictionary).to_numpy()
+        # what is alone under its key has been compared by that, but for other tiles
+        keys = table.column("shard").to_numpy()
+        key = np.cumsum(np.append(False, keys[1:] != keys[:-1]))
+        pair = np.unique(key * n + code)
+        tiled = bool(table.column("tile")[0].as_py())
+        some = np.arange(n) if tiled else np.unique(pair[np.bincount(pair // n)[pair // n] > 1] % n)
+        text, off = tk.texts_of(known.dictionary.take(pa.array(some)).cast(pa.large_binary()))
+        none = np.zeros(0, np.int64)
+        of, first, last, lead, at = repeated(text, np.diff(off), least[some], length) if len(some) else (none,) * 5
+        of, place, lead = some[of], lead, some[lead]
+        later = np.flatnonzero(ranks > least[code])
+        own = np.flatnonzero(ranks == least[code])
+        own = own[np.argsort(code[own], kind="stable")]
+        low, high = np.searchsorted(code[own], of), np.searchsorted(code[own], of, "right")
+
+        def members(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows that have a half under its least rank, and the places in ``of`` or ``lead`` that they belong to."""
+            many = high - low
+            which = np.repeat(np.arange(len(low)), many)
+            return own[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())], which
+
+        row, which = members(low, high)
+        begin = np.concatenate([starts[later], starts[row] + first[which]])
+        stop = np.concatenate([starts[later] + size[code[later]], starts[row] + last[which] + length])
+        gone = np.concatenate([later, row])
+        none = np.zeros(len(gone), np.int64)
+        columns = none.astype(np.int32), ranks[gone], tids[gone], begin, stop, none, none
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _SPANS)
-        if table.column("tile")[0].as_py():
-            s = off[lead] + at
-            begin = starts[lead] + at
+        if tiled:
+            row, which = members(np.searchsorted(code[own], lead), np.searchsorted(code[own], lead, "right"))
+            s = (off[place] + at)[which]
+            begin = starts[row] + at[which]
             hashes = [tk.Spans(text, base)(s, s + length).view(np.int64) for base in (tk._ODD, tk.OTHER)]
-            columns = np.ones(len(lead), np.int32), ranks[lead], tids[lead], begin, begin + length, *hashes
+            columns = np.ones(len(row), np.int32), ranks[row], tids[row], begin, begin + length, *hashes
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held, size = None, [], 0
+        """Parts end between two keys; a tile is a part of its own."""
+        held, size, last = [], 0, None
         for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
             shards, tiles = batch.column("shard").to_numpy(), batch.column("tile").to_numpy()
-            new = np.flatnonzero((shards[1:] != shards[:-1]) | (tiles[1:] != tiles[:-1])) + 1
-            edges = np.concatenate([[0], new, [len(shards)]]) if len(shards) else [0]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                here = int(shards[s]), int(tiles[s])
-                if held and here != place and (size >= part_bytes or here[1] or place[1]):
+            new = np.ones(n + 1, bool)
+            new[1:n] = (shards[1:] != shards[:-1]) | (tiles[1:] != tiles[:-1])
+            new[0] = last != (int(shards[0]), int(tiles[0]))
+            edges = np.flatnonzero(new)
+            upto = np.concatenate([[0], np.cumsum(pa.compute.binary_length(batch.column("body")).to_numpy())])
+            at = 0
+            while at < n:
+                if held and new[at] and (size >= part_bytes or tiles[at] or last[1]):
                     yield from solve(held)
                     held, size = [], 0
-                place = here
-                piece = batch.slice(s, e - s)
-                held.append(piece)
-                size += pa.compute.sum(pa.compute.binary_length(piece.column("body"))).as_py()
+                after = edges[np.searchsorted(edges, at, "right") :]
+                end = int(after[0])
+                if not tiles[at]:  # as many whole keys as make a part, up to the next tile
+                    full = int(np.searchsorted(upto[after], upto[at] + part_bytes - size))
+                    end = int(after[min(full, len(after) - 1)])
+                    hot = np.flatnonzero(tiles[at:end])
+                    end = at + int(hot[0]) if len(hot) else end
+                held.append(batch.slice(at, end - at))
+                size, at, last = size + int(upto[end] - upto[at]), end, (int(shards[end - 1]), int(tiles[end - 1]))
         if held:
             yield from solve(held)
 
@@ -425,10 +475,12 @@ def remove_repeats(
     least = save(ids.groupBy("tid", "other").agg(F.min("rank").alias("least")), "repeat-least")
     copies = ids.join(least, ["tid", "other"]).groupBy("rank", "tid").agg(F.max(F.col("rank") > F.col("least")).alias("copy"))
     marks = save(copies.join(lists, ["rank", "tid"], "left"), "repeat-marks")
+    free(lists, least, ids)
     staged = save(
-        source.join(marks, ["rank", "tid"]).select("doc_id", "rank", "tid", "text", "copy", "found").mapInArrow(_segments(parts * 64, length, gram), _STAGE_SQL),
+        source.join(marks, ["rank", "tid"]).select("doc_id", "rank", "tid", "text", "copy", "found").mapInArrow(_segments(length, gram), _STAGE_SQL),
         "repeat-stage",
     )
+    free(marks)
     spans = save(
         staged.filter(F.col("kind") == _HALF)
         .select("shard", "tile", "rank", "tid", "start", "body")

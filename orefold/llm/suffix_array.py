@@ -5,7 +5,7 @@ suffixes (LMS) divide the string into substrings. These are sorted by inducing,
 of their names is sorted recursively where names repeat. The order of the LMS suffixes then induces
 the whole array: one pass over the buckets upwards places the L suffixes, one downwards the S
 suffixes. The passes take many buckets of a large alphabet in one step, so that the recursion, whose symbols are
-names, needs no step for each name. Inside a bucket they go in rounds, each over all entries known so far, so a bucket
+names, needs no step for each name. Inside the buckets they go in rounds, each over all entries known so far, so a batch
 needs as many rounds as its longest run of one symbol, not as many steps as entries.
 """
 
@@ -18,6 +18,10 @@ import numpy as np
 _BYTES = np.array([1 << (8 * k) for k in range(8)], np.uint64)
 
 
+#: So many symbols are induced entry by entry: batches of a short string are too small to gain by.
+SINGLE = 1 << 16
+
+
 def classify(text: np.ndarray) -> np.ndarray:
     """True where a suffix is S. The end of the string counts as smaller than every symbol."""
     n = len(text)
@@ -31,11 +35,49 @@ def classify(text: np.ndarray) -> np.ndarray:
     return kind
 
 
-def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray, single: int = SINGLE) -> np.ndarray:
     """The suffix array that the given order of the LMS suffixes induces. Symbols are 0, 1, ... and all occur.
 
-    Each pass takes as many buckets at once as place no suffix into one another; a bucket that places
-    suffixes into itself goes alone, in rounds over what is new in it. A step is a few calls on whole arrays.
+    Strings of up to ``single`` symbols are induced entry by entry, longer ones in batches; both give the same.
+    """
+    return (_one_by_one if len(text) <= single else _in_batches)(text, kind, lms)
+
+
+def _one_by_one(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Both passes over plain lists."""
+    n, symbols, small = len(text), text.tolist(), kind.tolist()
+    counts = np.bincount(text)
+    ends = np.cumsum(counts)
+    fill, tail, out = (ends - counts).tolist(), ends.tolist(), [-1] * n
+    for i in lms[::-1].tolist():
+        c = symbols[i]
+        tail[c] -= 1
+        out[tail[c]] = i
+    c = symbols[n - 1]
+    out[fill[c]] = n - 1
+    fill[c] += 1
+    for p in range(n):
+        i = out[p] - 1
+        if i >= 0 and not small[i]:
+            c = symbols[i]
+            out[fill[c]] = i
+            fill[c] += 1
+    tail = ends.tolist()
+    for p in range(n - 1, -1, -1):  # what stood in a bucket's end is replaced before the pass comes there
+        i = out[p] - 1
+        if i >= 0 and small[i]:
+            c = symbols[i]
+            tail[c] -= 1
+            out[tail[c]] = i
+    return np.array(out, text.dtype)
+
+
+def _in_batches(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Both passes by buckets, on whole arrays.
+
+    Each pass takes as many buckets at once as place no suffix into one another. What they place into themselves
+    comes first, in rounds over what is new; a round that reaches another bucket of the batch ends the batch before that.
+    A step is a few calls on whole arrays.
     """
     n = len(text)
     counts = np.bincount(text)
@@ -72,6 +114,12 @@ def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
         before = entries[entries > 0] - 1
         return before[wanted[before]]
 
+    def take_back(first: int, stop: int, start: np.ndarray, end: np.ndarray) -> None:
+        """Empty the places from start to end of the buckets from the first on."""
+        many = end - start
+        if first < stop and many.any():
+            out[np.repeat(start - (np.cumsum(many) - many), many) + numbers[: many.sum()]] = -1
+
     fill, tail = heads.copy(), ends.copy()
     if len(lms):
         push_down(lms[::-1], text[lms[::-1]])
@@ -86,30 +134,34 @@ def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
         if not len(before):
             c, wide = stop, 2 * wide
             continue
-        into = text[before]
-        # the first buckets of the batch, up to the least bucket that anything so far goes into
-        reach = np.minimum.accumulate(into)
-        of = text[before + 1]
+        into, of = text[before], text[before + 1]
+        own = into == of
+        # the first buckets of the batch, up to the least other bucket that anything so far goes into
+        reach = np.minimum.accumulate(np.where(own, sigma, into))
         late = int((reach <= of).argmax()) if reach[-1] <= of[-1] else len(of)
-        edge = stop if late == len(of) else int(of[late])
-        if late < len(of) or reach[-1] < stop:
-            edge = min(edge, int(reach[max(0, late - 1)])) if late else edge
-            late = int(of.searchsorted(edge))
-        if edge > c:
-            if late:
-                push(before[:late], into[:late])
-            c, wide = edge, 2 * wide if edge == stop else edge - c
-            continue
-        done = heads[c]
-        while done < fill[c]:
-            now, done = out[done : fill[c]], fill[c]
-            before = preceding(now, large)
-            if len(before):
-                push(before, text[before])
-        before = preceding(out[fill[c] : ends[c]], large)
+        edge = min(stop if late == len(of) else int(of[late]), int(reach[late - 1]))
+        late = int(of.searchsorted(edge))
+        if own[:late].any():
+            asked, was = edge, fill[c:edge].copy()
+            now = before[:late][own[:late]]
+            while len(now):
+                push(now, text[now])
+                now = preceding(now, large)
+                into, of = text[now], text[now + 1]
+                own = into == of
+                edge = min(edge, int(into[~own].min(initial=edge)))
+                now = now[own & (of < edge)]
+            take_back(edge, asked, was[edge - c :], fill[edge:asked])
+            fill[edge:asked] = was[edge - c :]
+            before = preceding(out[heads[c] : ends[edge - 1]], large)
+            into = text[before]
+            other = into != text[before + 1]
+            before, into = before[other], into[other]
+        else:
+            before, into = before[:late], into[:late]
         if len(before):
-            push(before, text[before])
-        c, wide = c + 1, 1
+            push(before, into)
+        c, wide = edge, 2 * wide if edge == stop else edge - c
     out[seeds] = -1
     c, wide = sigma - 1, 1
     while c >= 0:
@@ -118,29 +170,33 @@ def induce(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
         if not len(before):
             c, wide = stop, 2 * wide
             continue
-        into = text[before]
-        reach = np.maximum.accumulate(into)
-        of = text[before + 1]
+        into, of = text[before], text[before + 1]
+        own = into == of
+        reach = np.maximum.accumulate(np.where(own, -1, into))
         late = int((reach >= of).argmax()) if reach[-1] >= of[-1] else len(of)
-        edge = stop if late == len(of) else int(of[late])
-        if late < len(of) or reach[-1] > stop:
-            edge = max(edge, int(reach[max(0, late - 1)])) if late else edge
-            late = int((of <= edge).argmax()) if of[-1] <= edge else len(of)
-        if edge < c:
-            if late:
-                push_down(before[:late], into[:late])
-            c, wide = edge, 2 * wide if edge == stop else c - edge
-            continue
-        done = ends[c]
-        while done > tail[c]:
-            now, done = out[tail[c] : done][::-1], tail[c]
-            before = preceding(now, kind)
-            if len(before):
-                push_down(before, text[before])
-        before = preceding(out[heads[c] : fill[c]][::-1], kind)
+        edge = max(stop if late == len(of) else int(of[late]), int(reach[late - 1]))
+        late = int((of <= edge).argmax()) if of[-1] <= edge else len(of)
+        if own[:late].any():
+            asked, was = edge, tail[edge + 1 : c + 1].copy()
+            now = before[:late][own[:late]]
+            while len(now):
+                push_down(now, text[now])
+                now = preceding(now, kind)
+                into, of = text[now], text[now + 1]
+                own = into == of
+                edge = max(edge, int(into[~own].max(initial=edge)))
+                now = now[own & (of > edge)]
+            take_back(asked + 1, edge + 1, tail[asked + 1 : edge + 1], was[: edge - asked])
+            tail[asked + 1 : edge + 1] = was[: edge - asked]
+            before = preceding(out[heads[edge + 1] : ends[c]][::-1], kind)
+            into = text[before]
+            other = into != text[before + 1]
+            before, into = before[other], into[other]
+        else:
+            before, into = before[:late], into[:late]
         if len(before):
-            push_down(before, text[before])
-        c, wide = c - 1, 1
+            push_down(before, into)
+        c, wide = edge, 2 * wide if edge == stop else c - edge
     return out
 
 

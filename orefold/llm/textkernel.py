@@ -91,6 +91,13 @@ class Spans:
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(pow(base, -1, 1 << 64), n + 1)[:n], out=self.prefix[1:])
 
+    def runs(self, size: int) -> np.ndarray:
+        """Hashes of all spans of one size, by the place where they start."""
+        n = max(0, len(self.prefix) - size)
+        value = self.prefix[size:] - self.prefix[:n]
+        value *= self.powers[:n]
+        return mix64(value ^ np.uint64(size * int(_SEED) & _MASK))
+
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         value = (self.prefix[ends] - self.prefix[starts]) * self.powers[starts]
         return mix64(value ^ ((ends - starts).astype(np.uint64) * _SEED))

@@ -79,8 +79,10 @@ def test_components(spark):
     assert len({got[i] for i in range(21)}) == 1 and got[100] == got[101] and len(set(got.values())) == 3
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_arrays(seed):
+@pytest.mark.parametrize("seed, single", [(0, 1 << 16), (1, 0), (2, 0), (3, 5)])
+def test_suffix_arrays(seed, single, monkeypatch):
+    monkeypatch.setattr(sa, "SINGLE", single)
+    monkeypatch.setattr(sa.induce, "__defaults__", (single,))
     rng = np.random.default_rng(seed)
     for _ in range(250):
         n = int(rng.integers(1, 70))
@@ -99,6 +101,7 @@ def test_recursion(monkeypatch):
     """A text whose LMS substrings repeat, and the names of these again."""
     seen = []
     inner = sa._sorted_suffixes
+    monkeypatch.setattr(sa.induce, "__defaults__", (2000,))
     monkeypatch.setattr(sa, "_sorted_suffixes", lambda text: seen.append(int(text.max()) + 1) or inner(text))
     rnd = random.Random(5)
     b = (" ".join(rnd.choice(["the", "then", "there", "hat", "that"]) for _ in range(6000))).encode()
