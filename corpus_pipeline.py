@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orefold.llm import decontaminate, jaccard_join, mixing, token_output, toxicity
 from orefold.llm.queries_token import tokenizer_path
-from orefold.llm.scratch import save
+from orefold.llm.scratch import free, free_since, save, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before, read = saved(), docs
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
+        free_since(before, docs)
+        free(read)
     return docs
 
 

@@ -162,8 +162,12 @@ def intervals(events: DataFrame, identity: Sequence[str], ties: Sequence[str]) -
 
 
 def scd2(events: DataFrame, identity: Sequence[str], ties: Sequence[str]) -> DataFrame:
-    """All versions of the events: replays dropped, corrections won, repeats compacted, intervals set."""
+    """All versions of the events: replays dropped, corrections won, repeats compacted, intervals set.
+
+    Events are dealt by identity once; every later step keeps to that, so it sorts and doesn't shuffle again.
+    """
     guard(events, identity, ties)
+    events = events.repartition(*identity)
     return intervals(compacted(corrected(replay_dedup(events, identity, ties), identity, ties), identity), identity, ties)
 
 

@@ -129,13 +129,14 @@ def inferred_type(c: Column) -> list[Column]:
 
 
 def infer_types(df: DataFrame, columns: Sequence[str], most: int = 100) -> DataFrame:
-    """``column, type`` from each column's first distinct non-blank texts, in order of value."""
-    parts = None
-    for c in columns:
-        values = df.select(F.col(c).cast("string").alias("v")).filter(F.trim("v") != "").distinct().orderBy("v").limit(most)
-        one = values.agg(*[e.alias("type") for e in inferred_type(F.col("v"))]).select(F.lit(c).alias("column"), "type")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """``column, type`` from each column's first distinct non-blank texts, in order of value; one scan for all columns."""
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")
+    values = df.select(named).select("x.*").filter(F.trim("v") != "").distinct()
+    w = Window.partitionBy("column").orderBy("v")
+    first = values.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= most)
+    found = first.groupBy("column").agg(*[e.alias("type") for e in inferred_type(F.col("v"))])
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "`column` string")
+    return every.join(found, "column", "left").select("column", F.coalesce("type", F.lit("varchar(max)")).alias("type"))
 
 
 def format_hints(samples: DataFrame) -> DataFrame:
