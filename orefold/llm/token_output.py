@@ -18,7 +18,7 @@ import functools
 import itertools
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +234,7 @@ def write_tokens(
 ) -> None:
     """Encode every text (null: empty), append ``end_id`` and write the file format in ``doc_id`` order.
 
+    Other columns are not written. An empty table gives files without rows.
     Null ids come first; rows that repeat an id are ordered by their texts. Parts are ranges of
     (doc_id, hash of the text), so one id may span parts.
     """
@@ -252,14 +253,20 @@ def write_tokens(
     ).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` from the files; ``start`` counts the ids of all documents before."""
+def read_tokens(spark: SparkSession, path: str, documents: Sequence | None = None) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` from the files; ``start`` counts the ids of all documents before.
+
+    With ``documents``, a few ids, the filter goes to the files, whose indexes leave out all other pages; the
+    offsets need the columns ``part`` and ``n_tokens`` alone.
+    """
     rows = spark.read.parquet(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
     if rows.select("part").distinct().count() <= MOST_BROADCAST_PARTS:
         offsets = F.broadcast(offsets)
+    if documents is not None:
+        rows = rows.filter(F.col("doc_id").isin(*documents))
     return rows.join(offsets, "part").select("doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids")
 
 

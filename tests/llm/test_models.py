@@ -46,6 +46,61 @@ def test_toxicity_edges(spark):
     assert toxicity.judge(docs.limit(0), toxicity.train(docs, labels)).isEmpty()
 
 
+def test_toxicity_repeated_labels_rows_and_long_texts(spark):
+    rnd = random.Random(3)
+    texts, toxic, quality = labelled(rnd, 300)
+    long = "wort " * 80_000 + "grobian wicht lump grobian"
+    docs = frame(spark, [*texts, long, texts[0], texts[0]])
+    rows = [(i, quality[i], toxic[i]) for i in range(300)]
+    labels = spark.createDataFrame(rows + rows[:50] + [(7, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    got = toxicity.judge(docs, chain).collect()
+    assert len(got) == 303 and chain.weights[1].shape[0] == chain.weights[0].shape[0] + 1
+    assert len({r.p_toxic for r in got if r.doc_id in (0, 301, 302)}) == 1
+    kept = toxicity.without_toxic(docs.selectExpr("*", "'c' AS is_toxic"), chain)
+    assert kept.columns == ["doc_id", "text", "is_toxic"]
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.is_toxic}
+
+
+def brute_leaks(texts, items):
+    """Every item against every place of every text, by the operator's own measure."""
+    hashed = lambda t: decontaminate.tk.word_hashes(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0]
+    words_of = [hashed(t) for t in items]
+    matcher = decontaminate.Matcher(list(range(len(items))), words_of, np.ones(decontaminate.BUCKETS), np.eye(decontaminate.BUCKETS, 4), 0.5, decontaminate.SHARE, decontaminate.ANSWER_SHARE)
+    out = set()
+    for d, text in enumerate(texts):
+        w = hashed(text)
+        for i, item in enumerate(words_of):
+            hit = np.flatnonzero(np.isin(w, item))
+            n, need = len(item), decontaminate.SHARE * len(item)
+            for s in range(0, max(1, len(w)), 8):
+                low, high = max(0, s - n), min(len(w), s + decontaminate.WINDOW + n)
+                if np.searchsorted(hit, high) - np.searchsorted(hit, low) >= need and matcher.accepts(i, w[low:high]):
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_against_brute_force(spark, sf_dir):
+    """Recall over all pairs of documents and items of the smallest tables; nothing else is found."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows, items = docs.orderBy("doc_id").collect(), bench.orderBy("item_id").collect()
+    want = {(rows[d].doc_id, items[i].item_id) for d, i in brute_leaks([r.text for r in rows], [r.text for r in items])}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert len(got & want) >= 0.9 * len(want) and not got - want
+
+
+def test_leaks_of_repeated_items_and_short_ones(spark):
+    rnd = random.Random(8)
+    item = " ".join(words(rnd, 20))
+    docs = frame(spark, [f"{' '.join(words(rnd, 30))} {item}", f"a b c {' '.join(words(rnd, 30))}"] * 2).selectExpr("doc_id % 2 AS doc_id", "text", "'s' AS share", "1 AS item_id")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (3, "a b c")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(0, 1), (0, 1), (0, 2), (0, 2)]
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 1]
+
+
 def test_leaks(spark):
     rnd = random.Random(2)
     items = [" ".join(words(rnd, rnd.randint(15, 50))) for _ in range(30)]
@@ -139,9 +194,21 @@ def test_long_texts(text):
     pii.field_spans(text, pii.base_spans(text), np.array(pii.fit()))
 
 
+@pytest.mark.parametrize("lead, secret", [("password=", "AbCdEfGhIjKlMnOp"), ("the secret is: ", None), ("bearer ", "a1B2" * 60), ("İ token = ", "f" * 8 + "0123456789abcdef" * 2)])
+def test_unquoted_and_long_secrets(lead, secret):
+    text = f"so {lead}{secret or 'quietude'} und so weiter"
+    found = pii.field_spans(text, pii.base_spans(text), np.array(pii.fit()))
+    at = len(f"so {lead}")
+    assert found == ([("secret", at, at + len(secret))] if secret else [])
+
+
 def test_personal_data_query(spark):
     texts = [None, "", "plain text", "é mail jan@x.org or +32 470 12 34 56 78", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
+    assert pii.find_personal_data(frame(spark, texts).limit(0)).isEmpty()
+    twice = frame(spark, texts).union(frame(spark, texts)).selectExpr("*", "1 AS spans")
+    assert sorted(pii.find_personal_data(twice).collect()) == sorted(pii.find_personal_data(frame(spark, texts)).collect() * 2)
     rows = sorted(pii.find_personal_data(frame(spark, texts)).collect())
+    assert [r.is_personal for r in rows] == [False, False, False, True, True]
     assert [(r.n_email, r.n_phone) for r in rows] == [(0, 0), (0, 0), (0, 0), (1, 1), (0, 0)]
     assert [r.spans for r in rows] == ["", "", "", "email:7:16,phone:20:39", "secret:9:49"]
     assert pii.redact(texts[3], [("email", 7, 16)]) == "é mail <email> or +32 470 12 34 56 78"

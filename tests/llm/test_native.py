@@ -51,6 +51,18 @@ def test_shards_hold_texts(spark, monkeypatch):
     assert sharding.buckets_a_shard(long, 4, 8192, 4000) == 4 and sharding.buckets_a_shard(long, 4, 8, 1 << 20) == 2
 
 
+def test_shards_of_equal_records_and_long_texts(spark):
+    rows = [(5, "same")] * 300 + [(i, "x" * 100_000) for i in range(20)] + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sharding.shuffle_into_shards(df, "doc_id", 4, bucket_rows=8, bucket_bytes=300_000).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    slots = defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in out if r.doc_id == 5}) == 1 and len({r.shard for r in out if r.doc_id is None}) == 1
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     names = sorted([s for s in sizes if s is not None], key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
@@ -129,7 +141,8 @@ def test_dual_of_odd_sources(spark):
     for r in mixing.whole_copies(mixing.tilts(sizes, targets), targets).collect():
         assert 0 <= r.copies <= 2 * r.n
         taken[r.source] += r["size"] * r.copies
-    assert all(abs(taken[s] - t) <= 4 for s, t in goal.items())
+    near = {"far": 50_004, "one": 4}  # what their sizes allow
+    assert all(abs(taken[s] - t) <= near.get(s, 1) for s, t in goal.items())
 
 
 def test_mix_is_the_same_on_other_partitions(spark, sf_dir):

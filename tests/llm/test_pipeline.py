@@ -27,6 +27,26 @@ def test_stages(spark, sf_dir):
     assert last.start + last.n_tokens == sum(r.n_tokens for r in seen["token_output"])
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Null, empty and long texts, null ids, repeated rows, tied copies, and columns named as the stages' own."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()
+    rows = [tuple(r) for r in base]
+    text = base[0].text
+    more = [(None, None, "en", "src0", 0), (9001, None, None, None, None), (9002, "", "en", "src1", 0), (9003, "word " * 60_000, "en", None, 1)]
+    more += [(9004, text, "en", "src0", 1), (9004, text, "en", "src0", 1), (None, text, "en", "src0", 1)]
+    kinds = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.createDataFrame(rows + more, kinds).selectExpr("*", "'x' AS is_toxic", "1 AS p_toxic", "2 AS copies", "'k' AS `set`", "3 AS part")
+    columns = docs.columns
+    for name, stage in pipeline.STAGES:
+        docs = save(stage(spark, docs, sf_dir), f"odd-{name}")
+        if name != "token_output":
+            assert docs.columns == columns and {r.is_toxic for r in docs.collect()} == {"x"}
+        if name == "near_duplicates":
+            kept = [r.doc_id for r in docs.collect()]
+            assert kept.count(9004) == 0 and kept.count(None) == 2 and {9001, 9002, 9003} <= set(kept)
+    assert docs.filter("n_tokens < 1").isEmpty()
+
+
 def test_registered():
     import __spark_entry__ as e
 

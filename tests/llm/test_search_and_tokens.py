@@ -109,6 +109,14 @@ def test_token_files(spark, tmp_path):
     assert len(files) > 1
     column = metas[0].row_group(0).column(metas[0].num_columns - 1)
     assert column.has_column_index and column.has_offset_index and any("DICT" in e for e in column.encodings)
+    few = token_output.read_tokens(spark, path, [3, 7])
+    picked = {r.doc_id: (r.start, r.n_tokens, [*r.ids]) for r in few.collect()}
+    everything = {r.doc_id: (r.start, r.n_tokens, [*r.ids]) for r in token_output.read_tokens(spark, path).collect()}
+    assert picked == {i: everything[i] for i in (3, 7)}
+    assert "PushedFilters: [In(doc_id, [3,7])" in few._jdf.queryExecution().toString()
+    token_output.write_tokens(df, str(tmp_path / "g"), tokenizer_path(), part_bytes=1 << 30, row_group_bytes=4096)
+    groups = [pq.ParquetFile(f).metadata.num_row_groups for f in (tmp_path / "g").glob("*.parquet")]
+    assert max(groups) > 1
     ordered = [i for f in files for i in pq.read_table(f, columns=["doc_id"]).column(0).to_pylist()]
     assert ordered == sorted(ordered)
 
