@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.cdc import merge
 
@@ -20,8 +21,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Put the old table back where a swap ended between its two renames; true if there was one to put back."""
+    fs, target = _fs(spark, path)
+    _, pattern = _fs(spark, f"{path}.old-*")
+    aside = [s.getPath() for s in fs.globStatus(pattern) or ()]
+    if fs.exists(target) or not aside:
+        return False
+    if len(aside) > 1:
+        raise OSError(f"several old tables beside {path}")
+    return fs.rename(aside[0], target)
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table and swap by renames; a failed write leaves the table as it was."""
+    """Write beside the table and swap by renames; a failed write leaves the table as it was.
+
+    A driver that dies between the renames leaves the old table beside its place; the next swap or ``recover_table`` puts it back.
+    """
+    recover_table(df.sparkSession, path)
     spark, beside = df.sparkSession, f"{path}.new-{uuid.uuid4().hex[:8]}"
     df.write.parquet(beside)
     fs, target = _fs(spark, path)
@@ -41,6 +58,7 @@ def replace_table(df: DataFrame, path: str) -> None:
 def merge_table(changes: DataFrame, path: str, keys: Sequence[str], on_schema_change: str = "fail") -> None:
     """Rows of the changes replace or join the table's by key; new columns only under ``append``."""
     spark = changes.sparkSession
+    recover_table(spark, path)
     if not exists(spark, path):
         replace_table(changes, path)
         return
@@ -48,7 +66,8 @@ def merge_table(changes: DataFrame, path: str, keys: Sequence[str], on_schema_ch
     if set(target.columns) != set(changes.columns):
         if on_schema_change != "append" or not set(target.columns) <= set(changes.columns):
             raise ValueError("the table's columns differ")
-        kept = target.join(changes.select(*keys).distinct(), list(keys), "left_anti")
-        replace_table(kept.unionByName(changes, allowMissingColumns=True), path)
+        missing = [f for f in changes.schema if f.name not in target.columns]
+        wide = target.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
+        replace_table(merge(wide, changes, keys), path)
         return
     replace_table(merge(target, changes, keys), path)

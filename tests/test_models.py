@@ -134,3 +134,28 @@ def test_fuzzy_match(spark):
     b = spark.createDataFrame([(7, "acme ltd."), (8, "Zeta")], "id int, name string")
     got = mdm.match(a, b, "id", "name", "fuzzy", F.upper(F.substring("name", 1, 1)), 0.8).collect()
     assert [(r.left_key, r.right_key) for r in got] == [(1, 7)]
+
+
+def test_swap_is_recovered(spark, tmp_path):
+    """The driver died after the old table was moved away."""
+    from orefold.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.createDataFrame([(1, "a")], "k int, v string"), path)
+    (tmp_path / "t").rename(tmp_path / "t.old-1234")
+    assert sinks.recover_table(spark, path) and not sinks.recover_table(spark, path)
+    sinks.merge_table(spark.createDataFrame([(1, "b", 5), (None, "c", 6)], "k int, v string, w int"), path, ["k"], "append")
+    sinks.merge_table(spark.createDataFrame([(None, "d", 7)], "k int, v string, w int"), path, ["k"])
+    assert sorted((r.k or 0, r.v, r.w) for r in spark.read.parquet(path).collect()) == [(0, "d", 7), (1, "b", 5)]
+
+
+def test_columns_and_empty_sources(spark):
+    from orefold.plans.binding import guarded, without_columns
+
+    df = spark.createDataFrame([(1, 2, 3)], "Id int, rowVersion int, v int")
+    assert without_columns(df, ["ROWVERSION", "id"]).columns == ["v"]
+    with pytest.raises(KeyError):
+        without_columns(df, ["nope"])
+    assert guarded(df) is df and guarded(df.limit(0), True).isEmpty()
+    with pytest.raises(ValueError):
+        guarded(df.limit(0))
