@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .types import NUMERIC, Kind, numeric_result
 
+#: The names of the language and its depth.
 MOST_DEPTH = 64
 ARITHMETIC = ("add", "subtract", "multiply", "divide", "modulo")
 COMPARISONS = ("equal", "not-equal", "less-than", "less-or-equal", "greater-than", "greater-or-equal")

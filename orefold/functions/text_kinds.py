@@ -16,6 +16,7 @@ FORMATS = (
     ("phone", r"^\+?\d[\d\s\-()]{6,}$"),
     ("numeric_code", r"^\d{2,10}$"),
 )
+#: Words, dates and key names that shapes and types are told by.
 TRUTH_WORDS = ("0", "1", "true", "false", "yes", "no", "y", "n")
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}|$)"
 DATE_FORMS = (r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}-\d{2}-\d{4}$")
@@ -35,9 +36,12 @@ WHOLE_DATETIME = (
     r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
     r"(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d+)?)?(?:Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?)?$"
 )
+#: Ranges of coordinates and limits of samples.
 LOCATION_RANGES = {"latitude": (-90.0, 90.0), "longitude": (-180.0, 180.0), "lng": (-180.0, 180.0), "coordinate": (-180.0, 180.0)}
 MOST_EXEMPT_DIGITS = 8
 MOST_SAMPLE_CHARS = 48
+#: What is masked but for its last two characters.
+MASKED_NUMBERS = (r"^[A-Z]{2}\d{2}[A-Za-z0-9]{8,30}$", r"^\+?[\d][\d\s().-]{6,}$", r"^\d{9,}$")
 
 
 def sample_shape(c: Column) -> Column:
@@ -110,7 +114,7 @@ def masked(c: Column) -> Column:
     t = F.trim(c.cast("string"))
     compact = F.replace(t, F.lit(" "), F.lit(""))
     local = F.substring_index(t, "@", 1)
-    numeric = compact.rlike(r"^[A-Z]{2}\d{2}[A-Za-z0-9]{8,30}$") | t.rlike(r"^\+?[\d][\d\s().-]{6,}$") | t.rlike(r"^\d{9,}$")
+    numeric = compact.rlike(MASKED_NUMBERS[0]) | t.rlike(MASKED_NUMBERS[1]) | t.rlike(MASKED_NUMBERS[2])
     stars = F.repeat(F.lit("*"), F.greatest(F.length(t) - 2, F.lit(1)))
     return (
         F.when(t == "", t)
