@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import free, save
+from .scratch import free, long_texts, save
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -253,6 +253,7 @@ def near_duplicates(
     their own key and no links. Rows that repeat a key each count; rows with a null key have links like
     others. A null key is never a class id unless all keys of the class are null. An empty table gives an empty result.
     """
+    long_texts(documents.sparkSession)
     source = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("body"), F.col(text).cast("string").alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     runs = runs_for(recall, threshold, choices, levels)

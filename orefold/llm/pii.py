@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import long_texts
+
 #: The kinds of the base patterns, in order.
 BASE_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("account", "contact", "secret", "tel")
@@ -371,6 +373,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     Null and empty texts have none; rows that repeat an id or a text each have their own. An empty table gives an
     empty result. Other columns take no part.
     """
+    long_texts(documents.sparkSession)
     source = documents.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)

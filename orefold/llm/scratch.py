@@ -17,6 +17,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 _MADE: list[tuple[SparkSession, str]] = []
 _SAVED: list[tuple[DataFrame, str]] = []
 
@@ -62,6 +64,18 @@ def free(*tables: DataFrame) -> None:
                 break
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Batches of texts for Python hold at most so many rows and bytes in this session from now on; lower settings stay.
+
+    The default of 10,000 rows would be tens of MB of whole texts, several times over, in every worker and its JVM.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key, None)
+        if held is not None and not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
+
+
 def saved() -> int:
     """How many saved tables there are, for ``free_since``."""
     return len(_SAVED)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import free, save
+from .scratch import free, long_texts, save
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -453,6 +453,7 @@ def remove_repeats(
     documents: DataFrame, length: int = LENGTH, gram: int = GRAM, part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES, tile: int = TILE
 ) -> DataFrame:
     """For every document: doc_id, n_bytes, ``kept`` (the bytes that stay) and ``spans`` (start and stop of what goes, apart and ascending)."""
+    long_texts(documents.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     source = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),

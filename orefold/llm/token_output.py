@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import new_path
+from .scratch import long_texts, new_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 16 << 20
@@ -238,6 +238,7 @@ def write_tokens(
     Null ids come first; rows that repeat an id are ordered by their texts. Parts are ranges of
     (doc_id, hash of the text), so one id may span parts.
     """
+    long_texts(documents.sparkSession)
     text = F.coalesce("text", F.lit(""))
     total = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))

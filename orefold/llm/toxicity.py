@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import release
+from .scratch import long_texts, release
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 8_000
@@ -173,6 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chai
     An id with several labels is toxic if one says so, and of the lowest quality of them; an id with several
     documents gives a row for each. Without documents or labels, or without toxic ones, nothing is toxic.
     """
+    long_texts(documents.sparkSession)
     agreed = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = (
         agreed.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
@@ -226,6 +227,7 @@ def judge(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
     Null and empty texts have no words; equal texts get equal probabilities. An empty table gives an empty result.
     """
+    long_texts(documents.sparkSession)
     names = {"is_toxic", "__text", *(f"p_{c}" for c in CATEGORIES)}
     columns = [c for c in documents.columns if c.lower() not in names]
     source = documents.select(*columns, F.col(text).alias("__text"))
@@ -247,4 +249,5 @@ def without_toxic(documents: DataFrame, chain: Chain, text: str = "text") -> Dat
             toxic = [x.column("is_toxic").to_numpy(zero_copy_only=False) for x in score(iter([texts]))]
             yield batch.filter(pa.array(~np.concatenate([np.zeros(0, bool), *toxic])))
 
+    long_texts(documents.sparkSession)
     return documents.mapInArrow(run, documents.schema)
