@@ -43,6 +43,8 @@ TILE = 2048
 #: Texts above this size are searched in overlapping pieces.
 PIECE_BYTES = 1 << 20
 _CHUNK_BYTES = 256 << 10
+#: Anchors of so much text go out together.
+_SENT_BYTES = 2 << 20
 _LAST = (1 << 63) - 1
 _HIGH = np.uint64(40)
 
@@ -183,7 +185,7 @@ def _anchor_rows(buckets: int, length: int, gram: int):
                     ranks, tids = part.column("rank").to_numpy(), part.column("tid").to_numpy()
                     held.append((hashes, items, owner + seen, ranks[owner], tids[owner]))
                 size, seen = size + len(raw), seen + part.num_rows
-                if held and size >= tk.CHUNK_BYTES:
+                if held and size >= _SENT_BYTES:
                     yield rows_of(held)
                     held, size, seen = [], 0, 0
             if held:

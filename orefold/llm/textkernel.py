@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+#: Texts are taken in pieces of about this size: some ten arrays of eight times as much are all that a worker holds.
+CHUNK_BYTES = 512 << 10
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SEED = np.uint64(0xD1B54A32D192ED03)
