@@ -69,6 +69,7 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield batch.slice(start, end - start), raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end
+    pa.default_memory_pool().release_unused()  # a worker lives on; its next task may be another operator's
 
 
 def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
