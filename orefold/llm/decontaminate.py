@@ -2,10 +2,10 @@
 
 Passages are windows of ``WINDOW`` words in steps of half of it; their words hash to ``BUCKETS``
 features, weighted by inverse document frequencies over all documents. A randomised singular value
-decomposition gives the latent space: two distributed passes multiply the sparse passages by a thin
-matrix and back, and a small eigenproblem is solved on the driver. It is fitted on the benchmark's items,
-which get half of the weight, and on passages of at most about ``sample_docs`` documents chosen by a
-hash of the id (documented bound); every passage of every document is then projected and compared.
+decomposition gives the latent space: one distributed pass multiplies the sparse passages of every document
+by a thin sparse matrix of signs and back, and a small eigenproblem is solved on the driver (Nystrom's
+approximation). The benchmark's items get half to two thirds of the weight; their part is added on the driver, so all blocks of
+items share the pass. Every passage of every document is then projected and compared.
 Items of more than ``WINDOW`` words are cut into overlapping pieces of that size, and every piece is
 searched; shorter ones are also compared with windows of 16 or 8 words. Passages whose latent cosine with
 a piece reaches ``cosine`` are candidates for its item. A candidate counts if, in the document's words
@@ -34,7 +34,9 @@ from .scratch import long_texts, release
 
 BUCKETS = 1 << 14
 RANK = 96
-EXTRA = 16
+#: Columns of the matrix of signs, and how many of them a feature is in.
+SKETCH = 256
+SIGNS = 1
 #: The first components hold the common words of the languages; passages are compared without them.
 LEADING = 8
 WINDOW = 32
@@ -43,7 +45,6 @@ SCALES = ((8, 0), (16, 10), (WINDOW, 20))
 #: Pieces of which the space holds a smaller part of the length get directions of their own, so many at most.
 HELD = 0.1
 OWN = 128
-SAMPLE_DOCS = 3000
 ITEM_BLOCK = 1024
 COSINE = 0.5
 SHARE = 0.6
@@ -52,7 +53,9 @@ ANSWER_SHARE = 0.5
 LEAST_WORDS = 4
 #: So many blocks of items are compared in one scan of the documents.
 SCAN_BLOCKS = 8
-_ROWS = 1 << 11
+_ROWS = 1 << 6
+#: So many blocks of words are multiplied at once, whatever the length of a text.
+_BLOCKS = 1 << 10
 #: Texts are taken in pieces of about this size, whose sums fit a processor's cache; a longer text is a piece of its own.
 CHUNK_BYTES = 256 << 10
 
@@ -125,43 +128,86 @@ def _pairs(sums: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _times_back(weights: np.ndarray, thin: np.ndarray):
-    """A task's part of A^T (A thin), in blocks of rows; A has a row of unit length for each passage."""
-    table, squares = _padded(weights[:, None] * thin), _padded((weights**2)[:, None])
+def _signs(seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of signs: for each feature ``SIGNS`` distinct columns and their signs; the same on every machine."""
+    rnd = np.random.default_rng(seed)
+    columns = rnd.random((BUCKETS, SKETCH)).argsort(1)[:, :SIGNS]
+    return columns, rnd.choice([-1.0, 1.0], columns.shape)
+
+
+class _Product:
+    """A^T (A S) for the matrix S of signs; A has a row of unit length for each block of passages."""
+
+    def __init__(self, weights: np.ndarray):
+        columns, signs = _signs()
+        # one more feature, of weight 0, for places without a word
+        self.squares = np.append(weights**2, 0.0)
+        self.columns = np.vstack([columns, np.zeros((1, SIGNS), columns.dtype)])
+        self.signed = np.vstack([signs * weights[:, None], np.zeros((1, SIGNS))])
+        self.weights, self.total, self.blocks = weights, np.zeros((BUCKETS + 1) * SKETCH), 0
+
+    def add(self, words: np.ndarray, first: np.ndarray) -> None:
+        """Take in all blocks of the documents. A block adds to a cell for each two of its words: no thin matrix is read."""
+        starts, ends, _ = _windows(words, first)
+        features = np.append(_features(words), BUCKETS)
+        for s in range(0, len(starts), _BLOCKS):
+            at = starts[s : s + _BLOCKS, None] + np.arange(WINDOW // 2)
+            block = features[np.where(at < ends[s : s + _BLOCKS, None], at, len(words))]
+            lengths = np.maximum(self.squares[block].sum(1), 1e-9)
+            for k in range(SIGNS):
+                cell = (block * SKETCH)[:, :, None] + self.columns[block, k][:, None, :]
+                value = np.broadcast_to((self.signed[block, k] / lengths[:, None])[:, None, :], cell.shape)
+                np.add.at(self.total, cell.reshape(-1), value.reshape(-1))
+        self.blocks += len(starts)
+
+    def result(self) -> np.ndarray:
+        return self.total[: BUCKETS * SKETCH].reshape(BUCKETS, SKETCH) * self.weights[:, None]
+
+
+def _partial(weights: np.ndarray):
+    """A task's part of the product, in blocks of rows; row -1 has the number of blocks of words, in halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, thin.shape[1]), np.float64)
+        product = _Product(weights)
         for batch in batches:
-            for part, raw, offsets in tk.chunks(batch, "text", CHUNK_BYTES):
-                words, first = tk.word_hashes(raw, offsets)
-                starts, ends, doc = _windows(words, first)
-                scale = part.column("weight").to_numpy()[doc]
-                lengths = np.sqrt(np.maximum(_block_sums(squares, words, starts, ends)[:, 0], 1e-9))
-                y = _block_sums(table, words, starts, ends) / lengths[:, None] ** 2 * scale[:, None]
-                back = np.repeat(y, ends - starts, axis=0)
-                features = _features(words)
-                order = np.argsort(features, kind="stable")
-                edges = np.flatnonzero(np.append(True, np.diff(features[order]) > 0)) if len(features) else np.zeros(0, int)
-                if len(edges):
-                    total[features[order][edges]] += np.add.reduceat(back[order], edges, axis=0)
-        total *= weights[:, None]
+            for _, raw, offsets in tk.chunks(batch, "text", CHUNK_BYTES):
+                product.add(*tk.word_hashes(raw, offsets))
+        if not product.blocks:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([np.array([product.blocks % (1 << 16), product.blocks >> 16], np.float32).tobytes()], pa.binary())], ["block", "body"])
         for s in range(0, BUCKETS, _ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([total[s : s + _ROWS].tobytes()], pa.binary())], ["block", "body"])
+            body = product.total[s * SKETCH : (s + _ROWS) * SKETCH].reshape(-1, SKETCH) * weights[s : s + _ROWS, None]
+            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([body.astype(np.float32).tobytes()], pa.binary())], ["block", "body"])
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(b, np.float64) for b in pdf["body"]], axis=0)
-    return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "body": [total.tobytes()]})
-
-
-def _gathered(passages: DataFrame, weights: np.ndarray, thin: np.ndarray) -> np.ndarray:
-    blocks = passages.mapInArrow(_times_back(weights, thin), "block long, body binary").groupBy("block").applyInPandas(_summed, "block long, body binary")
-    out = np.zeros((BUCKETS, thin.shape[1]))
-    for r in blocks.collect():
-        out[r["block"] : r["block"] + _ROWS] = np.frombuffer(r["body"], np.float64).reshape(-1, thin.shape[1])
-    return out
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One sum for each block of rows, taken as its parts come."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
+            part = np.frombuffer(body.as_buffer(), np.float32)
+            if block in total:
+                total[block] += part
+            else:
+                total[block] = part.astype(np.float64)
+    for block, body in total.items():
+        kind = np.float64 if block < 0 else np.float32
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([body.astype(kind).tobytes()], pa.binary())], ["block", "body"])
+
+
+def passage_product(documents: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """A^T (A S) over the passages of all documents, and how many blocks of words they have."""
+    shape = "block long, body binary"
+    parts = documents.select("text").mapInArrow(_partial(weights), shape).repartition("block").mapInArrow(_summed, shape)
+    out, blocks = np.zeros((BUCKETS, SKETCH)), 0
+    for r in parts.collect():
+        if r["block"] < 0:
+            blocks = int(np.frombuffer(r["body"], np.float64) @ [1, 1 << 16])
+        else:
+            out[r["block"] : r["block"] + _ROWS] = np.frombuffer(r["body"], np.float32).reshape(-1, SKETCH)
+    return out, blocks
 
 
 def piece_starts(n: int, window: int = WINDOW) -> list[int]:
@@ -169,15 +215,27 @@ def piece_starts(n: int, window: int = WINDOW) -> list[int]:
     return [*range(0, n - window, window // 2), n - window] if n > window else [0]
 
 
-def latent_space(
-    passages: DataFrame, weights: np.ndarray, rank: int = RANK, extra: int = EXTRA, leading: int = LEADING, seed: int = 3
-) -> np.ndarray:
-    """``rank`` right singular vectors of the passages (``text``, ``weight``) after the ``leading`` ones, features by rank."""
-    thin = np.random.default_rng(seed).standard_normal((BUCKETS, leading + rank + extra)).astype(np.float64)
-    basis, _ = np.linalg.qr(_gathered(passages, weights, thin))
-    small = basis.T @ _gathered(passages, weights, basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return basis @ vectors[:, np.argsort(-values)[leading : leading + rank]]
+def latent_space(product: np.ndarray, rank: int = RANK, leading: int = LEADING) -> np.ndarray:
+    """``rank`` eigenvectors of A^T A after the ``leading`` ones from A^T (A S), features by rank; fewer if A has fewer.
+
+    Nystrom's approximation with a small shift: of the positive semidefinite matrices that agree with the product.
+    """
+    columns, signs = _signs()
+    shift = 1e-7 * float(np.linalg.norm(product))  # about the rounding of the parts
+    if not shift:
+        return np.zeros((BUCKETS, 0))
+    shifted, core = product.copy(), np.zeros((SKETCH, SKETCH))
+    for k in range(SIGNS):
+        shifted[np.arange(BUCKETS), columns[:, k]] += shift * signs[:, k]
+    for k in range(SIGNS):
+        np.add.at(core, columns[:, k], signs[:, k, None] * shifted)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    held = values > 1e-6 * values[-1]
+    half = shifted @ (vectors[:, held] / np.sqrt(values[held]))
+    values, vectors = np.linalg.eigh(half.T @ half)
+    order = np.argsort(-values)[leading : leading + rank]
+    order = order[values[order] > 1e-5 * values[-1]]
+    return half @ (vectors[:, order] / np.sqrt(values[order]))
 
 
 def widened(space: np.ndarray, weights: np.ndarray, pieces: list[np.ndarray], held: float = HELD, most: int = OWN) -> np.ndarray:
@@ -307,17 +365,15 @@ class Matcher:
 
 
 def matchers(
-    documents: DataFrame, benchmark: DataFrame, sample_docs: int = SAMPLE_DOCS, item_block: int = ITEM_BLOCK, cosine: float = COSINE,
-    share: float = SHARE, answer_share: float = ANSWER_SHARE,
+    documents: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, cosine: float = COSINE, share: float = SHARE,
+    answer_share: float = ANSWER_SHARE,
 ) -> Iterator[Matcher]:
     """One matcher for each block of items. Items of fewer than ``LEAST_WORDS`` words (null, empty) never match."""
     spark = documents.sparkSession
     long_texts(spark)
     seen, n = document_frequencies(documents)
     weights = np.log((n + 1) / (seen + 1)) + 0.05
-    part = min(1.0, sample_docs / max(1, n))
-    low = F.lit(-(1 << 63) + min((1 << 64) - 1, int(part * 2.0**64)))
-    sample = documents.filter(F.xxhash64("doc_id") < low).select("text", F.lit(1.0).alias("weight"))
+    product = None
     items = benchmark.filter("text is not null").select("item_id", "text").distinct()
     n_words = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
     pieces = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(n_words * 2 / WINDOW)))).first()[0] or 0
@@ -333,10 +389,14 @@ def matchers(
             continue
         ids = rows.column("item_id").to_pylist()
         pieces = [words[first[i] + s : min(first[i] + s + WINDOW, first[i + 1])] for i in kept for s in piece_starts(int(first[i + 1] - first[i]))]
-        passages = max(1.0, 30.0 * min(sample_docs, n)) / len(pieces)
-        own = spark.createDataFrame([(texts[i].as_py(), float(passages)) for i in kept], "text string, weight double")
-        space = widened(latent_space(sample.unionByName(own).coalesce(8), weights), weights, pieces)
-        matcher = Matcher([ids[i] for i in kept], [words[first[i] : first[i + 1]] for i in kept], weights, space, cosine, share, answer_share)
+        if product is None:
+            product, passages = passage_product(documents, weights)
+        found = [words[first[i] : first[i + 1]] for i in kept]
+        own = _Product(weights)
+        own.add(np.concatenate(found), np.cumsum([0, *map(len, found)]))
+        space = widened(latent_space(product + max(1.0, passages / len(pieces)) * own.result()), weights, pieces)
+        matcher = Matcher([ids[i] for i in kept], found, weights, space, cosine, share, answer_share)
+        del own, space
         release()
         matcher.kind = rows.schema.field("item_id").type
         yield matcher

@@ -212,3 +212,28 @@ def test_personal_data_query(spark):
     assert [(r.n_email, r.n_phone) for r in rows] == [(0, 0), (0, 0), (0, 0), (1, 1), (0, 0)]
     assert [r.spans for r in rows] == ["", "", "", "email:7:16,phone:20:39", "secret:9:49"]
     assert pii.redact(texts[3], [("email", 7, 16)]) == "é mail <email> or +32 470 12 34 56 78"
+
+
+def test_latent_space_of_all_documents(spark):
+    """Every document counts: the product is that of brute force, and the space holds what only the last documents say."""
+    rnd = random.Random(12)
+    common = [" ".join(words(rnd, 40)) for _ in range(4000)]
+    texts = [*common, *(f"{t} zyx wvu" for t in common[:50]), "zyx " * 5000, None, ""]
+    docs, weights = frame(spark, texts), np.random.default_rng(1).random(decontaminate.BUCKETS) + 0.1
+    product, blocks = decontaminate.passage_product(docs, weights)
+    raw = [t.encode() for t in texts if t]
+    hashed, first = decontaminate.tk.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    columns, signs = decontaminate._signs()
+    thin = np.zeros((decontaminate.BUCKETS, decontaminate.SKETCH))
+    np.put_along_axis(thin, columns, signs, 1)
+    want, n, half = np.zeros(thin.shape), 0, decontaminate.WINDOW // 2
+    for a, b in zip(first, first[1:], strict=False):
+        for s in range(a, b, half):
+            f = decontaminate._features(hashed[s : min(s + half, b)])
+            row = (weights[f, None] * thin[f]).sum(0) / (weights[f] ** 2).sum()
+            np.add.at(want, f, weights[f, None] * row)
+            n += 1
+    assert blocks == n and np.abs(product - want).max() < 1e-5 * np.abs(want).max()
+    assert decontaminate.latent_space(np.zeros(want.shape)).shape[1] == 0
+    space = decontaminate.latent_space(product)
+    assert space.shape[1] == decontaminate.RANK and np.abs(space.T @ space - np.eye(space.shape[1])).max() < 1e-6
