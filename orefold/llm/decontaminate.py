@@ -131,7 +131,7 @@ def _pairs(sums: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def _signs(seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The matrix of signs: for each feature ``SIGNS`` distinct columns and their signs; the same on every machine."""
     rnd = np.random.default_rng(seed)
-    columns = rnd.random((BUCKETS, SKETCH)).argsort(1)[:, :SIGNS]
+    columns = np.vstack([rnd.random((min(_BLOCKS, BUCKETS - s), SKETCH)).argsort(1)[:, :SIGNS] for s in range(0, BUCKETS, _BLOCKS)])
     return columns, rnd.choice([-1.0, 1.0], columns.shape)
 
 
@@ -201,7 +201,7 @@ def passage_product(documents: DataFrame, weights: np.ndarray) -> tuple[np.ndarr
     """A^T (A S) over the passages of all documents, and how many blocks of words they have."""
     shape = "block long, body binary"
     parts = documents.select("text").mapInArrow(_partial(weights), shape).repartition("block").mapInArrow(_summed, shape)
-    out, blocks = np.zeros((BUCKETS, SKETCH)), 0
+    out, blocks = np.zeros((BUCKETS, SKETCH), np.float32), 0  # as the parts come
     for r in parts.collect():
         if r["block"] < 0:
             blocks = int(np.frombuffer(r["body"], np.float64) @ [1, 1 << 16])
@@ -215,20 +215,22 @@ def piece_starts(n: int, window: int = WINDOW) -> list[int]:
     return [*range(0, n - window, window // 2), n - window] if n > window else [0]
 
 
-def latent_space(product: np.ndarray, rank: int = RANK, leading: int = LEADING) -> np.ndarray:
+def latent_space(product: np.ndarray, rank: int = RANK, leading: int = LEADING, spent: bool = False) -> np.ndarray:
     """``rank`` eigenvectors of A^T A after the ``leading`` ones from A^T (A S), features by rank; fewer if A has fewer.
 
     Nystrom's approximation with a small shift: of the positive semidefinite matrices that agree with the product.
+    A product that is ``spent`` (64-bit floats) is written over, so that the driver holds one large matrix less.
     """
     columns, signs = _signs()
     shift = 1e-7 * float(np.linalg.norm(product))  # about the rounding of the parts
     if not shift:
         return np.zeros((BUCKETS, 0))
-    shifted, core = product.copy(), np.zeros((SKETCH, SKETCH))
+    shifted, core = product if spent else product.astype(np.float64), np.zeros((SKETCH, SKETCH))
     for k in range(SIGNS):
         shifted[np.arange(BUCKETS), columns[:, k]] += shift * signs[:, k]
     for k in range(SIGNS):
-        np.add.at(core, columns[:, k], signs[:, k, None] * shifted)
+        for s in range(0, BUCKETS, _BLOCKS):
+            np.add.at(core, columns[s : s + _BLOCKS, k], signs[s : s + _BLOCKS, k, None] * shifted[s : s + _BLOCKS])
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     held = values > 1e-6 * values[-1]
     half = shifted @ (vectors[:, held] / np.sqrt(values[held]))
@@ -394,9 +396,15 @@ def matchers(
         found = [words[first[i] : first[i + 1]] for i in kept]
         own = _Product(weights)
         own.add(np.concatenate(found), np.cumsum([0, *map(len, found)]))
-        space = widened(latent_space(product + max(1.0, passages / len(pieces)) * own.result()), weights, pieces)
-        matcher = Matcher([ids[i] for i in kept], found, weights, space, cosine, share, answer_share)
-        del own, space
+        both = own.result()
+        del own
+        both *= max(1.0, passages / len(pieces))
+        both += product
+        space = latent_space(both, spent=True)
+        del both
+        release()
+        matcher = Matcher([ids[i] for i in kept], found, weights, widened(space, weights, pieces), cosine, share, answer_share)
+        del space
         release()
         matcher.kind = rows.schema.field("item_id").type
         yield matcher

@@ -110,6 +110,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         last = int(np.flatnonzero(new)[-1]) if new.any() else 0
         if last:
             yield batch.slice(0, last), np.concatenate([[0], np.flatnonzero(new[:last]), [last]])
+            tk.give_back()
         left = batch.slice(last)
     if left is not None:
         columns = [left.column(k).to_numpy(zero_copy_only=False) for k in keys]

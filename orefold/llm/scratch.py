@@ -8,17 +8,16 @@ them is written, the others when the application ends.
 from __future__ import annotations
 
 import atexit
-import ctypes
 import gc
 import re
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+from . import textkernel as tk
+
+BATCH_BYTES = 4 << 20
 _MADE: list[tuple[SparkSession, str]] = []
 _SAVED: list[tuple[DataFrame, str]] = []
 
@@ -65,15 +64,16 @@ def free(*tables: DataFrame) -> None:
 
 
 def long_texts(spark: SparkSession) -> None:
-    """Batches of texts for Python hold at most so many rows and bytes in this session from now on; lower settings stay.
+    """Batches for Python hold at most ``BATCH_BYTES``, or one row, in this session from now on; a lower setting stays.
 
-    The default of 10,000 rows would be tens of MB of whole texts, several times over, in every worker and its JVM.
+    The default of 10,000 rows and 64 MB would be tens of MB of whole texts, several times over, in every worker
+    and its JVM. Rows are not limited, which would cost narrow rows a batch for each thousand.
     """
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        held = spark.conf.get(key, None)
-        if held is not None and not (held.isdigit() and 0 < int(held) <= most):
-            spark.conf.set(key, str(most))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)  # None: unset, so Spark's default holds
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(held) if held and held[0] != "-" else 0
+    if not 0 < most <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def saved() -> int:
@@ -89,10 +89,7 @@ def free_since(count: int, *kept: DataFrame) -> None:
 def release() -> None:
     """Give the memory of freed arrays back to the system; a long pipeline's driver would keep it."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
-    if trim is not None:
-        trim(0)
+    tk.give_back()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

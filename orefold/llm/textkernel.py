@@ -7,6 +7,7 @@ taken from prefix sums, then mixed. Documents never share a word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,14 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, which the allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch of about ``limit`` bytes of text, one row at least, with bytes and offsets."""
     raw, offsets = texts_of(batch.column(batch.schema.get_field_index(text)))
@@ -69,7 +78,7 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
         yield batch.slice(start, end - start), raw[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end
-    pa.default_memory_pool().release_unused()  # a worker lives on; its next task may be another operator's
+    give_back()  # a worker lives on; its next task may be another operator's
 
 
 def spans(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,15 @@
 """Every stage on what the one before it kept."""
 
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline as pipeline
-from orefold.llm import queries
-from orefold.llm.scratch import save
+from orefold.llm import decontaminate, jaccard_join, queries
+from orefold.llm.scratch import BATCH_BYTES, long_texts, save
 
-from .helpers import shingles
+from .helpers import frame, shingles
 
 
 def test_stages(spark, sf_dir):
@@ -59,3 +62,36 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         docs = save(stage(spark, docs, sf_dir), "test-empty")
     assert docs.isEmpty()
+
+
+def test_batches_of_texts_are_small(spark):
+    """In a session that sets nothing; a lower setting stays, a higher one doesn't."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        docs = frame(spark, ["word " * 2000] * 2000).coalesce(1)
+        jaccard_join.near_duplicates(docs.limit(3))
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 20_000_000 and max(got) < BATCH_BYTES + 50_000
+        for held, want in (("1m", "1m"), ("1000", "1000"), ("64m", str(BATCH_BYTES)), ("67108864b", str(BATCH_BYTES))):
+            spark.conf.set(key, held)
+            long_texts(spark)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.unset(key)
+
+
+def test_decontamination_holds_few_large_matrices(spark, sf_dir):
+    """The driver's arrays while a matcher is made: fewer than five matrices of features by signs in 64 bits."""
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")]
+    tracemalloc.start()
+    try:
+        next(decontaminate.matchers(*tables))
+        assert tracemalloc.get_traced_memory()[1] < 5 * decontaminate.BUCKETS * decontaminate.SKETCH * 8
+    finally:
+        tracemalloc.stop()
