@@ -142,7 +142,8 @@ def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: i
 
     The running sum of exact copies, by size, is rounded down after a seeded shift, and a group gets what it adds to that; so
     the words of a source are off by less than its largest document. A later round moves the largest size that fits in
-    what misses; gaps shrink with every round, which ends when no document fits.
+    what misses, or if none does one document of the least size that ends nearer on the other side; gaps shrink with
+    every round, which ends when no document brings the words nearer.
     """
     u = (F.xxhash64("source", F.lit(seed)).bitwiseAND(F.lit(0xFFFFF))) / F.lit(float(1 << 20))
     so_far = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
@@ -156,16 +157,17 @@ def whole_copies(rates: DataFrame, targets: DataFrame, most: int = MOST, seed: i
         got = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("got"))
         gaps = _with(targets.select("source", goal.alias("goal")), got, "got").select("source", (F.col("goal") - F.col("got")).alias("gap"))
         room = F.when(F.col("gap") > 0, F.col("n") * most - F.col("copies")).otherwise(F.col("copies"))
+        fit = F.when(F.col("size") <= F.abs("gap"), F.col("size")).otherwise(-F.col("size"))
         steps = (
             _with(groups, gaps, "gap")
             .withColumn("room", room)
-            .filter((F.col("room") > 0) & (F.col("size") <= F.abs("gap")))
+            .filter((F.col("room") > 0) & (F.col("size") / 2 < F.abs("gap")))
             .groupBy("source")
-            .agg(F.max(F.struct("size", "room", "gap")).alias("b"))
+            .agg(F.max(F.struct(fit.alias("fit"), "size", "room", "gap")).alias("b"))
             .select(
                 "source",
                 F.col("b.size").alias("at"),
-                (F.signum("b.gap") * F.least(F.col("b.room"), F.floor(F.abs("b.gap") / F.col("b.size")))).cast("long").alias("by"),
+                (F.signum("b.gap") * F.least(F.col("b.room"), F.greatest(F.lit(1), F.floor(F.abs("b.gap") / F.col("b.size"))))).cast("long").alias("by"),
             )
         )
         steps = save(steps, "mix-step")
